@@ -65,17 +65,25 @@ def peak_bin(arrays: DataFrame) -> DataFrame:
                          .cast("int").alias("peak_bin"))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable, so that it is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def autocorrelation(series: Column, max_lag: int = MAX_LAG) -> Column:
     """r_0..r_max_lag of an array; zeros when it does not vary."""
     n = F.size(series)
-    mean = F.aggregate(series, F.lit(0.0), lambda a, v: a + v) / n
-    centred = F.transform(series, lambda v: v - mean)
-    var = F.aggregate(centred, F.lit(0.0), lambda a, v: a + v * v)
-    at = lambda k: F.aggregate(
-        F.zip_with(F.slice(centred, F.lit(1), n - k), F.slice(centred, k + 1, n - k), lambda a, b: a * b),
-        F.lit(0.0), lambda a, v: a + v)
-    return F.transform(F.sequence(F.lit(0), F.lit(max_lag)),
-                       lambda k: F.when(var > 0, at(k) / var).otherwise(0.0))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
+
+    def at(c, k):
+        return total(F.zip_with(F.slice(c, F.lit(1), n - k), F.slice(c, k + 1, n - k), lambda a, b: a * b))
+
+    def lags(c, var):
+        return F.transform(F.sequence(F.lit(0), F.lit(max_lag)),
+                           lambda k: F.when(var > 0, at(c, k) / var).otherwise(0.0))
+
+    return _let(total(series) / n, lambda mean: _let(
+        F.transform(series, lambda v: v - mean), lambda c: _let(at(c, F.lit(0)), lambda var: lags(c, var))))
 
 
 def periodicity(arrays: DataFrame) -> DataFrame:

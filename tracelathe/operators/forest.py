@@ -98,7 +98,7 @@ def isolation_forest(rows: DataFrame, keys: list[str], ids: list[str], dims: lis
                 "size:array<int>,m:int,n_trees:int")
     n_keys = len(keys)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_tree", "_draw", *ids], kind="stable")
         pdf = pdf.groupby("_tree", sort=False).head(MAX_SAMPLES)
         tree = pdf["_tree"].to_numpy(dtype=np.int64)

@@ -121,7 +121,7 @@ ACCESS_DIMS = ["reads", "writes", "n_values", "mean_value", "std_value", "read_g
 VALUE_DIMS = ["mean", "std", "min", "max", "range", "entropy", "n"]
 
 
-def standardise(vectors: DataFrame, dims: list[str], keys=("test_id",)) -> DataFrame:
+def standardise(vectors: DataFrame, dims: list[str], keys=("test_id",), ids=("descr",)) -> DataFrame:
     """Zero mean and unit population deviation per run; constant columns are only centred.
 
     Moments are aggregated map-side and joined back by salts, not windowed: a run's registers
@@ -130,7 +130,7 @@ def standardise(vectors: DataFrame, dims: list[str], keys=("test_id",)) -> DataF
     keys = list(keys)
     moments = vectors.groupBy(*keys).agg(
         *[F.avg(d).alias(f"_m_{d}") for d in dims], *[F.stddev_pop(d).alias(f"_s_{d}") for d in dims])
-    joined = carry.salted_join(vectors, moments, keys, ["descr"])
+    joined = carry.salted_join(vectors, moments, keys, list(ids))
     scale = lambda d: F.when(F.col(f"_s_{d}") > 0, F.col(f"_s_{d}")).otherwise(1.0)
     return (joined.withColumns({d: (F.col(d) - F.col(f"_m_{d}")) / scale(d) for d in dims})
             .drop(*[f"_m_{d}" for d in dims], *[f"_s_{d}" for d in dims]))

@@ -56,7 +56,7 @@ _LONG = {
     "burst_stats": ("register_access_patterns", "descr", ["n_bursts", "mean_len", "max_len", "total_accesses"]),
     "temporal_patterns": ("temporal_patterns", None, [
         "duration_s", "total", "rate", "reads", "writes", "rw_ratio", "peak_bin", "n_phases", "periodic"]),
-    "error_contexts": ("error_contexts", None, ["error_count", "first_ns", "last_ns", "avg_context_size"]),
+    "error_contexts": ("error_contexts", None, ["error_count", "first_s", "last_s", "avg_context_size"]),
 }
 
 
@@ -66,6 +66,8 @@ def melt(name: str, table: DataFrame) -> DataFrame:
         return table.select("test_id", F.lit(name).alias("family"), F.lit("").alias("entity"),
                             F.posexplode("embedding").alias("_i", "value")).select(
             "test_id", "family", "entity", F.format_string("dim_%02d", "_i").alias("feature"), "value")
+    if name == "error_contexts":  # whole nanoseconds of the epoch do not fit a double
+        table = table.withColumns({"first_s": F.col("first_ns") / 1e9, "last_s": F.col("last_ns") / 1e9})
     family, entity, columns = _LONG[name]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                 for c in columns])).alias("_p")
