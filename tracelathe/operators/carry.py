@@ -21,7 +21,7 @@ LOG_ORDER = ["line_id", "pos"]
 
 def log_chunks(df: DataFrame, lines: int = CHUNK_LINES, line="line_id") -> DataFrame:
     """Cut by line id: chunk ``i`` holds lines ``[i*lines, (i+1)*lines)``."""
-    return df.withColumn(CHUNK, F.floor(F.col(line) / lines).cast("bigint"))
+    return df.withColumn(CHUNK, F.expr(f"{line} div {lines}"))
 
 
 def range_chunks(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
@@ -89,9 +89,8 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], col: str,
          .rowsBetween(Window.unboundedPreceding, -1))
     inside = df.withColumn(out, F.last(col, ignorenulls=True).over(w))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    seams = (df.where(F.col(col).isNotNull()).groupBy(*keys, CHUNK)
-             .agg(F.max_by(F.col(col), _row(order)).alias("_tail")))
-    seams = (df.select(*keys, CHUNK).distinct().join(seams, [*keys, CHUNK], "left")
+    seams = (df.groupBy(*keys, CHUNK)
+             .agg(F.max_by(F.col(col), F.when(F.col(col).isNotNull(), _row(order))).alias("_tail"))
              .select(*keys, CHUNK, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
              .where("_carry is not null"))
     return (inside.join(seams, [*keys, CHUNK], "left")

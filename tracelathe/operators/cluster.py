@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracelathe.functions.exprs import box_gap, box_span, squared_distance
 from tracelathe.operators import carry
 from tracelathe.schema import EPS, MIN_POINTS
-from tracelathe.session import materialize
+from tracelathe.session import materialize, spread
 
 
 def _boxes(sites: DataFrame, keys: list[str], n_dims: int, *extra) -> DataFrame:
@@ -28,7 +28,7 @@ def _as(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys])
 
 
-def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float) -> DataFrame:
+def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float, n: int) -> DataFrame:
     """Pairs of cells (both ways, self included) whose boxes come within the radius.
 
     Coarse cells span three fine ones: neighbours differ by at most one coarse step per dimension.
@@ -42,17 +42,17 @@ def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float
     b = (_as(cells.select(*keys, "cell", "lo", "hi"), keys, "b")
          .withColumns({f"g{j}": F.floor(F.col("cell_b")[i] / 3).cast("bigint") for j, i in enumerate(grid)}))
     return (a.join(b, [*keys, *[f"g{j}" for j in range(len(grid))]])
-            .where(box_gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")) <= limit)
+            .where(box_gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), n) <= limit)
             .select(*keys, "cell_a", "cell_b"))
 
 
-def _probe(sites: DataFrame, near: DataFrame, boxes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+def _probe(sites: DataFrame, near: DataFrame, boxes: DataFrame, keys: list[str], limit: float, n: int) -> DataFrame:
     """Sites with each near box, marked whole (inside the radius throughout) or open."""
     v = F.col("v_a")
     return (_as(sites, keys, "a").join(near, [*keys, "cell_a"])
             .join(_as(boxes, keys, "b"), [*keys, "cell_b"])
-            .where(box_gap(v, v, F.col("lo_b"), F.col("hi_b")) <= limit)
-            .withColumn("whole", box_span(v, v, F.col("lo_b"), F.col("hi_b")) <= limit))
+            .where(box_gap(v, v, F.col("lo_b"), F.col("hi_b"), n) <= limit)
+            .withColumn("whole", box_span(v, v, F.col("lo_b"), F.col("hi_b"), n) <= limit))
 
 
 def _components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,22 +85,22 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
     """
     keys, n_dims, limit = list(keys), len(dims), eps * eps
     side = eps / math.sqrt(n_dims) * (1 - 1e-12)
-    grid = grid if grid is not None else list(range(min(4, n_dims)))
+    grid = grid if grid is not None else list(range(min(3, n_dims)))
     vector: Column = F.array(*[F.col(d).cast("double") + 0.0 for d in dims])
     rows = points.select(*keys, name, F.col(id_col).alias("id"), vector.alias("v"))
-    sites = materialize(
+    sites = spread(materialize(
         rows.groupBy(*keys, "v").agg(F.count("*").alias("w"), F.min("id").alias("id"))
-        .withColumn("cell", F.transform("v", lambda x: F.floor(x / side).cast("bigint"))), "sites")
-    cells = materialize(_boxes(sites, keys, n_dims, F.sum("w").alias("w")), "cells")
-    near = materialize(_near_cells(cells, keys, grid, limit), "near-cells")
+        .withColumn("cell", F.transform("v", lambda x: F.floor(x / side).cast("bigint"))), "sites"))
+    cells = spread(materialize(_boxes(sites, keys, n_dims, F.sum("w").alias("w")), "cells"))
+    near = spread(materialize(_near_cells(cells, keys, grid, limit, n_dims), "near-cells"))
 
     dense = cells.where(F.col("w") >= min_points).select(*keys, "cell")
     sparse = sites.join(cells.where(F.col("w") < min_points).select(*keys, "cell"), [*keys, "cell"])
-    probe = _probe(sparse.select(*keys, "id", "v", "cell"), near, cells, keys, limit)
+    probe = _probe(sparse.select(*keys, "id", "v", "cell"), near, cells, keys, limit, n_dims)
     by_box = probe.where("whole").select(*keys, F.col("id_a").alias("id"), F.col("w_b").alias("w"))
     by_site = (probe.where("NOT whole").select(*keys, "id_a", "v_a", "cell_b")
                .join(_as(sites.select(*keys, "cell", "v", "w"), keys, "b"), [*keys, "cell_b"])
-               .where(squared_distance(F.col("v_a"), F.col("v_b")) <= limit)
+               .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit)
                .select(*keys, F.col("id_a").alias("id"), F.col("w_b").alias("w")))
     counted = (by_box.unionByName(by_site).groupBy(*keys, "id").agg(F.sum("w").alias("_n"))
                .where(F.col("_n") >= min_points).select(*keys, "id"))
@@ -110,8 +110,8 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
                      .join(sites.select(*keys, "id", "w"), [*keys, "id"]))
         .select(*keys, "id", "v", "cell"), "core")
 
-    boxes = materialize(_boxes(core, keys, n_dims, F.min("id").alias("id")), "core-cells")
-    edges = _edges(core, boxes, near, keys, limit)
+    boxes = _boxes(core, keys, n_dims, F.min("id").alias("id"))
+    edges = _edges(core, boxes, near, keys, limit, n_dims)
     labels = _components(boxes, edges, keys)
     numbers = (labels.select(*keys, "label").distinct()
                .withColumn("cluster_id", (F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)))
@@ -119,12 +119,12 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
 
     inner = core.join(numbered, [*keys, "cell"]).select(*keys, "id", "cluster_id")
     loose = sites.select(*keys, "id", "v", "cell").join(core.select(*keys, "id"), [*keys, "id"], "left_anti")
-    reach = (_probe(loose, near, boxes.drop("id"), keys, limit)
+    reach = (_probe(loose, near, boxes.drop("id"), keys, limit, n_dims)
              .join(_as(numbered, keys, "b"), [*keys, "cell_b"]))
     touched = (reach.where("whole").select(*keys, "id_a", "cluster_id_b").unionByName(
         reach.where("NOT whole").select(*keys, "id_a", "v_a", "cell_b", "cluster_id_b")
         .join(_as(core.select(*keys, "cell", "v"), keys, "b"), [*keys, "cell_b"])
-        .where(squared_distance(F.col("v_a"), F.col("v_b")) <= limit)
+        .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit)
         .select(*keys, "id_a", "cluster_id_b")))
     border = touched.groupBy(*keys, F.col("id_a").alias("id")).agg(F.min("cluster_id_b").alias("cluster_id"))
     site_labels = inner.unionByName(border).join(sites.select(*keys, "id", "v"), [*keys, "id"]).drop("id")
@@ -132,20 +132,21 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
             .select(*keys, name, F.col("id").alias(id_col), "cluster_id"))
 
 
-def _edges(core: DataFrame, boxes: DataFrame, near: DataFrame, keys: list[str], limit: float) -> DataFrame:
+def _edges(core: DataFrame, boxes: DataFrame, near: DataFrame, keys: list[str], limit: float,
+           n_dims: int) -> DataFrame:
     """Pairs of core cells that hold two core sites within the radius, both ways."""
     ends = [*keys, "cell_a", "cell_b"]
     box = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
     pairs = (near.where("cell_a < cell_b")
              .join(_as(boxes.drop("id"), keys, "a"), [*keys, "cell_a"])
              .join(_as(boxes.drop("id"), keys, "b"), [*keys, "cell_b"])
-             .where(box_gap(*box) <= limit).withColumn("whole", box_span(*box) <= limit))
+             .where(box_gap(*box, n_dims) <= limit).withColumn("whole", box_span(*box, n_dims) <= limit))
     undecided = pairs.where("NOT whole").select(*ends)
-    facing = _probe(core.drop("id"), undecided, boxes.drop("id"), keys, limit)
+    facing = _probe(core.drop("id"), undecided, boxes.drop("id"), keys, limit, n_dims)
     by_site = facing.where("whole").select(*ends).distinct()
     close = (facing.join(by_site, ends, "left_anti").select(*ends, "v_a")
              .join(_as(core.drop("id"), keys, "b"), [*keys, "cell_b"])
-             .where(squared_distance(F.col("v_a"), F.col("v_b")) <= limit).select(*ends).distinct())
+             .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit).select(*ends).distinct())
     one_way = pairs.where("whole").select(*ends).unionByName(by_site).unionByName(close)
     return materialize(one_way.unionByName(one_way.select(
         *keys, F.col("cell_b").alias("cell_a"), F.col("cell_a").alias("cell_b"))), "edges")

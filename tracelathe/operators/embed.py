@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tracelathe.operators import carry
-from tracelathe.operators.text import stop_words, tfidf
+from tracelathe.operators.text import corpus_weights, stop_words
 from tracelathe.schema import CORPUS_VOCABULARY, PCA_DIMS
 from tracelathe.session import materialize
 
@@ -61,7 +61,7 @@ def path_pieces(access: DataFrame, chunk_lines=None) -> DataFrame:
 def piece_grams(access: DataFrame, chunk_lines=None) -> DataFrame:
     """(test_id, term, tf): 1- to 3-grams of the pieces, stop words left out first."""
     stop = stop_words(access.sparkSession)
-    kept = path_pieces(access, chunk_lines).where(~F.col("piece").isin(stop))
+    kept = materialize(path_pieces(access, chunk_lines).where(~F.col("piece").isin(stop)), "pieces")
     ahead = carry.with_next_two(kept, ["test_id"], ["line_id", "pos", "k"], ["piece"])
     two = F.concat_ws(" ", "piece", "next1.piece")
     three = F.concat_ws(" ", "piece", "next1.piece", "next2.piece")
@@ -71,16 +71,12 @@ def piece_grams(access: DataFrame, chunk_lines=None) -> DataFrame:
             .groupBy("test_id", "term").agg(F.count("*").alias("tf")))
 
 
-def corpus_tfidf(tf: DataFrame, docs: DataFrame, doc: str, cap: int = CORPUS_VOCABULARY) -> DataFrame:
-    """TF-IDF of documents against one corpus: (doc, term, weight).  ``docs`` lists them all."""
-    one = F.lit(0).alias("_c")
-    sizes = docs.agg(F.count("*").alias("n_docs")).select(one, "n_docs")
-    weights = tfidf(tf.select(one, doc, F.lit(1).alias("mult"), "term", "tf"), sizes, ["_c"], [doc], cap)
-    return weights.select(doc, "term", "weight")
-
-
 def run_tfidf(access: DataFrame, chunk_lines=None, cap: int = CORPUS_VOCABULARY) -> DataFrame:
-    return corpus_tfidf(piece_grams(access, chunk_lines), access.select("test_id").distinct(), "test_id", cap)
+    """TF-IDF of runs over path pieces: (test_id, term, weight)."""
+    counted = materialize(piece_grams(access, chunk_lines), "piece-grams")
+    vocab = (counted.groupBy("term").agg(F.sum("tf").alias("n"))
+             .orderBy(F.desc("n"), F.asc("term")).limit(cap).select("term"))
+    return corpus_weights(counted.join(F.broadcast(vocab), "term"), access.select("test_id").distinct(), "test_id")
 
 
 def dense_vectors(weights: DataFrame, docs: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:

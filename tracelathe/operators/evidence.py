@@ -15,8 +15,8 @@ from tracelathe.operators.text import top_registers
 from tracelathe.schema import ARRAY_IMPORTANCE, CLUSTER_IMPORTANCE, CLUSTER_MEMBERS
 from tracelathe.session import materialize
 
-# Dimensions of the access vector the neighbour grid uses: reads, writes, mean value, read gap.
-ACCESS_GRID = [0, 1, 3, 5]
+# Dimensions of the access vector the neighbour grid uses: reads, mean value, read gap.
+ACCESS_GRID = [0, 3, 5]
 
 
 def access_clusters(access: DataFrame) -> DataFrame:

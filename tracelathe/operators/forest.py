@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tracelathe.operators.quantiles import exact_quantiles
 from tracelathe.operators import carry
 from tracelathe.schema import CONTAMINATION, MAX_SAMPLES, N_TREES, SEED
+from tracelathe.session import by_group, materialize
 
 _SCORE_ROWS = 20_000     # rows scored together in one group
 _CANDIDATES = 600        # expected draws per tree from which MAX_SAMPLES are taken
@@ -76,13 +77,15 @@ def _score(x: np.ndarray, nodes: dict, n_trees: int, m: int) -> np.ndarray:
 
 
 def sample_rows(rows: DataFrame, keys: list[str], ids: list[str], n_trees: int, seed: int) -> DataFrame:
-    """A hash-drawn sample per tree.  Rows that no tree draws are dropped before the shuffle."""
+    """A hash-drawn sample per tree.  Rows that no tree draws are dropped before the shuffle; in a
+    group of at most ``MAX_SAMPLES`` rows each stands for all trees (tree -1)."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     sized = carry.salted_join(rows, sizes, keys, ids)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_tree"), *ids), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return (sized.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-            .withColumn("_draw", draw)
-            .where((F.col("_n") <= MAX_SAMPLES) | (F.col("_draw") < F.lit(float(_CANDIDATES)) / F.col("_n"))))
+    small = F.col("_n") <= MAX_SAMPLES
+    trees = F.when(small, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(n_trees - 1)))
+    return (sized.withColumn("_tree", F.explode(trees)).withColumn("_draw", draw)
+            .where(small | (F.col("_draw") < F.lit(float(_CANDIDATES)) / F.col("_n"))))
 
 
 def isolation_forest(rows: DataFrame, keys: list[str], ids: list[str], dims: list[str],
@@ -101,15 +104,17 @@ def isolation_forest(rows: DataFrame, keys: list[str], ids: list[str], dims: lis
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_tree", "_draw", *ids], kind="stable")
         pdf = pdf.groupby("_tree", sort=False).head(MAX_SAMPLES)
-        tree = pdf["_tree"].to_numpy(dtype=np.int64)
+        x, tree = pdf[dims].to_numpy(dtype=float), pdf["_tree"].to_numpy(dtype=np.int64)
+        if tree[0] < 0:
+            x, tree = np.tile(x, (n_trees, 1)), np.repeat(np.arange(n_trees), len(pdf))
         m = int(np.bincount(tree).max())
         rng = np.random.default_rng([seed, *"|".join(map(str, key)).encode()])
-        out = _grow(pdf[dims].to_numpy(dtype=float), tree, max(1, math.ceil(math.log2(max(m, 2)))), rng)
+        out = _grow(x, tree, max(1, math.ceil(math.log2(max(m, 2)))), rng)
         return pd.DataFrame([[*key[:n_keys], *[out[c].tolist() for c in ("tree", "node", "feature", "cut", "size")],
                               m, n_trees]],
                             columns=[*keys, "tree", "node", "feature", "cut", "size", "m", "n_trees"])
 
-    return drawn.groupBy(*keys).applyInPandas(grow, schema)
+    return by_group(drawn, keys).groupBy(*keys).applyInPandas(grow, schema)
 
 
 def forest_nodes(forest: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,7 +144,8 @@ def forest_scores(rows: DataFrame, forest: DataFrame, keys: list[str], ids: list
         parts = [_score(x[i:i + step], nodes, int(f["n_trees"]), int(f["m"])) for i in range(0, len(x), step)]
         return left[[*keys, *ids]].assign(score=np.concatenate(parts))
 
-    return (spread.groupBy(*keys, "_part").cogroup(trees.groupBy(*keys, "_part"))
+    parts = [*keys, "_part"]
+    return (by_group(spread, parts).groupBy(*parts).cogroup(by_group(trees, parts).groupBy(*parts))
             .applyInPandas(score, schema))
 
 
@@ -159,4 +165,5 @@ def flag_anomalies(vectors: DataFrame, keys: list[str], ids: list[str], dims: li
                    anomaly_type="value_distribution", **kw) -> DataFrame:
     """Standardised vectors in, flagged rows out."""
     forest = isolation_forest(vectors, keys, ids, dims, **kw)
-    return forest_flags(forest_scores(vectors, forest, keys, ids, dims), keys, anomaly_type=anomaly_type)
+    scores = materialize(forest_scores(vectors, forest, keys, ids, dims), "scores")
+    return forest_flags(scores, keys, anomaly_type=anomaly_type)

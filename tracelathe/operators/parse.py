@@ -33,7 +33,9 @@ def parse_access(lines: DataFrame) -> DataFrame:
     groups = "\n".join(f"${i}" for i in range(1, _FIELDS + 1))
     found = (lines.where(F.col("raw").contains("MEM_"))
              .select("test_id", "line_id",
-                     F.posexplode(F.regexp_extract_all("raw", F.lit(ACCESS), F.lit(0))).alias("pos", "raw"))
+                     # Outer, so that Spark does not run the pattern once more to skip empty rows first.
+                     F.posexplode_outer(F.regexp_extract_all("raw", F.lit(ACCESS), F.lit(0))).alias("pos", "raw"))
+             .where("pos is not null")
              .withColumn("_g", F.split(F.regexp_replace("raw", ACCESS, groups), "\n", _FIELDS)))
     g = F.col("_g")
     typed = found.select(
@@ -63,12 +65,14 @@ def _matches(lines: DataFrame, hint: str, pattern: str, n_groups: int) -> DataFr
     """Matches of ``pattern`` with their groups and the text before each on the same line."""
     groups = "\n".join(f"${i}" for i in range(1, n_groups + 1))
     lead_in = "(?s)(.*?)" + pattern
-    return (lines.where(F.col("raw").contains(hint) & F.col("raw").rlike(pattern))
-            .withColumn("_gaps", F.regexp_extract_all("raw", F.lit(lead_in), F.lit(1)))
+    return (lines.where(F.col("raw").contains(hint))
             .withColumn("_hits", F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)))
-            .select("test_id", "line_id", "_gaps", "_hits", F.posexplode("_hits").alias("pos", "hit"))
-            .select("test_id", "line_id", "pos", F.col("hit").alias("raw"),
-                    F.split(F.regexp_replace("hit", pattern, groups), "\n", n_groups).alias("g"),
+            .select("test_id", "line_id", F.col("raw").alias("_line"), "_hits",
+                    F.posexplode_outer("_hits").alias("pos", "raw"))
+            .where("pos is not null")
+            .withColumn("_gaps", F.regexp_extract_all("_line", F.lit(lead_in), F.lit(1)))
+            .select("test_id", "line_id", "pos", "raw",
+                    F.split(F.regexp_replace("raw", pattern, groups), "\n", n_groups).alias("g"),
                     F.concat(
                         F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.col("pos")),
                                                 F.slice("_hits", F.lit(1), F.col("pos")),
@@ -81,29 +85,21 @@ def stamp(marks: DataFrame, lines: DataFrame, ts_source="nearest",
     """As-of join: give each mark the last bracketed integer before it in its run ("0" if none).
 
     ``ts_source='nearest'`` takes any bracketed integer, array indexes included;
-    ``'record'`` takes only the time of an access record.  Only ids and the bracket travel
-    through the shuffle, never the text.
+    ``'record'`` takes only the time of an access record.  Of the other lines only ids and the
+    bracket travel through the shuffle, never the text.
     """
     if ts_source not in ("nearest", "record"):
         raise ValueError(f"unknown ts_source {ts_source!r}")
     record = ts_source == "record"
-    bracket = LAST_RECORD_TIME if record else LAST_BRACKETED
-    own = F.regexp_extract("before", bracket, 1)
-    marked = marks.withColumn("_own", F.when(own != "", own))
+    last = lambda text: F.nullif(F.regexp_extract(text, LAST_RECORD_TIME if record else LAST_BRACKETED, 1), F.lit(""))
     stops = (lines.where(F.col("raw").contains("MEM_" if record else "["))
-             .select("test_id", "line_id", F.regexp_extract("raw", bracket, 1).alias("_ts")).where("_ts <> ''"))
-    asks = (marked.where("_own is null").select("test_id", "line_id").distinct()
-            .withColumn("_ts", F.lit(None).cast("string")))
-    # Asks sort before the stop of their own line: that bracket lies behind them or they own it.
-    both = carry.log_chunks(stops.withColumn("_ask", F.lit(False))
-                            .unionByName(asks.withColumn("_ask", F.lit(True)))
-                            .withColumn("_o", F.when(F.col("_ask"), 0).otherwise(1)), chunk_lines)
-    known = (carry.with_last_known(both, ["test_id"], ["line_id", "_o"], "_ts", "_seen")
-             .where("_ask").select("test_id", "line_id", "_seen"))
-    return (marked.join(known, ["test_id", "line_id"], "left")
-            .withColumn("ts_text", F.coalesce("_own", "_seen", F.lit("0")))
-            .withColumn("ts_ns", F.expr("try_cast(ts_text as bigint)"))
-            .drop("_own", "_seen", "before"))
+             .select("test_id", "line_id", last("raw").alias("_ts"), F.lit(1).alias("_o")))
+    # Marks sort before the bracket of their own line: it lies behind them, or they own it.
+    asks = marks.withColumns({"_own": last("before"), "_ts": F.lit(None).cast("string"), "_o": F.lit(0)})
+    both = carry.log_chunks(asks.drop("before").unionByName(stops, allowMissingColumns=True), chunk_lines)
+    known = carry.with_last_known(both, ["test_id"], ["line_id", "_o"], "_ts", "_seen").where("_o = 0")
+    return (known.withColumn("ts_text", F.coalesce("_own", "_seen", F.lit("0")))
+            .withColumn("ts_ns", F.expr("try_cast(ts_text as bigint)")))
 
 
 def parse_fsm(lines: DataFrame, dedupe_sleep=False, ts_source="nearest",

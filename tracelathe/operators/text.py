@@ -6,7 +6,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelathe.operators import carry
-from tracelathe.schema import RUN_VOCABULARY, TOP_REGISTERS, TOP_TERMS
+from tracelathe.schema import CORPUS_VOCABULARY, RUN_VOCABULARY, TOP_REGISTERS, TOP_TERMS
 
 # Fixed value: words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -23,47 +23,61 @@ def word_tokens(text: Column, stop: list[str]) -> Column:
                     lambda w: ~w.isin(stop))
 
 
-def ngrams(tokens: Column, longest: int = 3) -> Column:
-    """All 1..longest-grams of a token array, joined by single spaces."""
-    size = F.size(tokens)
-    upto = lambda n: F.when(
-        size >= n, F.transform(F.sequence(F.lit(1), size - n + 1),
-                               lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(tokens, *[upto(n) for n in range(2, longest + 1)])
+def grams(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
+    """(keys, term): one row per 1- to 3-gram of a token array, joined by single spaces."""
+    t = F.col("_t")
+    at = F.explode(F.arrays_zip(t.alias("a"), F.slice(t, 2, 1 << 30).alias("b"), F.slice(t, 3, 1 << 30).alias("c")))
+    three = docs.select(*keys, tokens.alias("_t")).select(*keys, at.alias("_g")).select(*keys, "_g.*")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    # Slices end early; the tokens missing there are null, and so are the grams.
+    listed = F.array(a, F.concat(a, F.lit(" "), b), F.concat(a, F.lit(" "), b, F.lit(" "), c))
+    return three.select(*keys, F.explode(listed).alias("term")).where("term is not null")
 
 
-def term_counts(docs: DataFrame, keys: list[str], text: str, stop: list[str]) -> DataFrame:
-    """(keys, term, tf) of each row's text."""
-    return (docs.withColumn("_t", word_tokens(F.col(text), stop))
-            .select(*keys, F.explode(ngrams(F.col("_t"))).alias("term"))
-            .groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+def vocabulary(found: DataFrame, corpus: list[str], cap: int) -> DataFrame:
+    """The ``cap`` most frequent terms per corpus; ``found`` holds (corpus, term, n) with any
+    number of rows per term."""
+    terms = found.groupBy(*corpus, "term").agg(F.sum("n").alias("corpus_tf"))
+    return carry.at_most(terms, corpus, [F.desc("corpus_tf"), F.asc("term")], cap, "term_no")
 
 
-def vocabulary(tf: DataFrame, sizes: DataFrame, corpus: list[str], cap: int) -> DataFrame:
-    """The ``cap`` most frequent terms per corpus with their idf, ln((1+n)/(1+df)) + 1."""
-    terms = tf.groupBy(*corpus, "term").agg(F.sum(F.col("mult") * F.col("tf")).alias("corpus_tf"),
-                                            F.sum("mult").alias("df"))
-    kept = carry.at_most(terms, corpus, [F.desc("corpus_tf"), F.asc("term")], cap, "term_no")
-    return kept.join(sizes, corpus).select(
-        *corpus, "term", "df", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+def tfidf(counted: DataFrame, sizes: DataFrame, corpus: list[str], doc: list[str]) -> DataFrame:
+    """Unit-length TF-IDF weights (corpus, doc, mult, term, weight), idf = ln((1+n)/(1+df)) + 1.
 
-
-def tfidf(tf: DataFrame, sizes: DataFrame, corpus: list[str], doc: list[str], cap: int) -> DataFrame:
-    """Unit-length TF-IDF weights (corpus, doc, mult, term, weight).
-
-    ``tf`` holds (corpus, doc, mult, term, tf); ``mult`` says how many equal rows a doc stands
-    for; ``sizes`` holds (corpus, n_docs).
+    ``counted`` holds (corpus, doc, mult, term, tf) of vocabulary terms only; ``mult`` says how
+    many equal rows a doc stands for; ``sizes`` holds (corpus, n_docs).
     """
-    vocab = vocabulary(tf, sizes, corpus, cap)
-    weighed = carry.salted_join(tf, vocab.select(*corpus, "term", "idf"), [*corpus, "term"], doc)
-    # One text's terms: as many as the text itself has.
-    per_doc = (weighed.groupBy(*corpus, *doc, "mult")
-               .agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("_norm"),
-                    F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("_terms")))
+    idf = (counted.groupBy(*corpus, "term").agg(F.sum("mult").alias("df")).join(sizes, corpus).select(
+        *corpus, "term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighed = carry.salted_join(counted, idf, [*corpus, "term"], doc).withColumn("_w", F.col("tf") * F.col("idf"))
+    # One text's vocabulary terms: as many as the text has, and never more than the cap.
+    per_doc = weighed.groupBy(*corpus, *doc, "mult").agg(
+        F.sqrt(F.sum(F.col("_w") ** 2)).alias("_norm"), F.collect_list(F.struct("term", "_w")).alias("_terms"))
     return (per_doc.select(*corpus, *doc, "mult", "_norm", F.explode("_terms").alias("_e"))
             .select(*corpus, *doc, "mult", F.col("_e.term").alias("term"),
-                    (F.col("_e.w") / F.col("_norm")).alias("weight")))
+                    (F.col("_e._w") / F.col("_norm")).alias("weight")))
+
+
+def document_tfidf(docs: DataFrame, doc: str, text: str, cap: int = CORPUS_VOCABULARY) -> DataFrame:
+    """TF-IDF of free texts against their whole corpus: (doc, term, weight).
+
+    Grams are counted over the corpus first; only those of the vocabulary (at most ``cap`` rows,
+    so it is broadcast) are then shuffled by document.
+    """
+    tokens = word_tokens(F.col(text), stop_words(docs.sparkSession))
+    found = grams(docs, [doc], tokens)
+    vocab = (found.groupBy("term").agg(F.count("*").alias("n"))
+             .orderBy(F.desc("n"), F.asc("term")).limit(cap).select("term"))
+    counted = found.join(F.broadcast(vocab), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    return corpus_weights(counted, docs, doc)
+
+
+def corpus_weights(counted: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+    """Weights of vocabulary counts (doc, term, tf) against one corpus; ``docs`` lists all documents."""
+    one = F.lit(0).alias("_c")
+    sizes = docs.agg(F.count("*").alias("n_docs")).select(one, "n_docs")
+    return tfidf(counted.select(one, doc, F.lit(1).alias("mult"), "term", "tf"), sizes, ["_c"], [doc]).select(
+        doc, "term", "weight")
 
 
 def described(frame: DataFrame) -> DataFrame:
@@ -76,10 +90,13 @@ def described(frame: DataFrame) -> DataFrame:
 
 def term_scores(descriptions: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """Top terms per run by summed weight over its rows (test_id, term, score, rank)."""
-    stop = stop_words(descriptions.sparkSession)
-    tf = term_counts(descriptions, ["test_id", "descr", "mult"], "descr", stop)
+    tokens = word_tokens(F.col("descr"), stop_words(descriptions.sparkSession))
+    counted = (grams(descriptions, ["test_id", "descr", "mult"], tokens)
+               .groupBy("test_id", "descr", "mult", "term").agg(F.count("*").alias("tf")))
+    vocab = vocabulary(counted.withColumn("n", F.col("mult") * F.col("tf")), ["test_id"], RUN_VOCABULARY)
+    kept = carry.salted_join(counted, vocab.select("test_id", "term"), ["test_id", "term"], ["descr"])
     sizes = descriptions.groupBy("test_id").agg(F.sum("mult").alias("n_docs"))
-    weights = tfidf(tf, sizes, ["test_id"], ["descr"], RUN_VOCABULARY)
+    weights = tfidf(kept, sizes, ["test_id"], ["descr"])
     scores = weights.groupBy("test_id", "term").agg(F.sum(F.col("mult") * F.col("weight")).alias("score"))
     # Scores equal up to summation noise are ties, which the term decides.
     return carry.at_most(scores, ["test_id"], [F.desc(F.round("score", 9)), F.asc("term")], k)

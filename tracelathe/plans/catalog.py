@@ -11,7 +11,7 @@ from tracelathe.operators import (access_patterns as ap, activity, carry, cluste
                                   forest, fsm as machines, parse, registers, sequences, text, triage)
 from tracelathe.plans import views
 from tracelathe.plans.features import assemble, extract_features
-from tracelathe.session import materialize
+from tracelathe.session import materialize, spread
 from tracelathe.sources.regression import status_counts
 
 # Standardised access vectors of a few dozen events per user are sparse; a wider radius than the
@@ -114,7 +114,7 @@ def hex_values(spark, sf):
     return _access(spark, sf)
 
 
-@query("test_id:s line_id:i part:i relative_time:f3")
+@query("test_id:s line_id:i part:i relative_time:f6")
 def relative_time(spark, sf):
     return registers.relative_seconds(views.frame(spark, sf))
 
@@ -300,9 +300,7 @@ def important_registers(spark, sf):
 
 @query("doc_id:i term:s weight:f6")
 def doc_tfidf(spark, sf):
-    docs = views.table(spark, sf, "documents")
-    tf = text.term_counts(docs, ["doc_id"], "text", text.stop_words(spark))
-    return embed.corpus_tfidf(tf, docs, "doc_id")
+    return text.document_tfidf(spread(views.table(spark, sf, "documents")), "doc_id", "text")
 
 
 @query("test_id:s piece:s n:i")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelathe.operators import carry, parse
 from tracelathe.plans.engine import Options, parse_tables
-from tracelathe.session import materialize
+from tracelathe.session import materialize, spread
 from tracelathe.sources.regression import label_runs
 
 # Events of one user lie hours apart, so the windows are wider here.
@@ -26,7 +26,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.expr("datediff(to_date(ts), date'1970-01-01') * 86400000000L"
                     " + (hour(ts) * 3600L + minute(ts) * 60L) * 1000000L"
                     " + cast(extract(second from ts) * 1000000 as bigint)")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("user_id").cast("string").alias("test_id"), "event_id", (micros * 1000).alias("ts_ns"),
         "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 100).cast("bigint").alias("v"), "value")
@@ -68,7 +68,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """runs, lines, access, fsm, err: rendered, parsed and stored once per session, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
-        raw = materialize(lines(spark, sf_dir), "lines")
+        raw = spread(materialize(lines(spark, sf_dir), "lines"))
         _TABLES[key] = {"lines": raw, "runs": materialize(runs(spark, sf_dir), "runs"),
                         **parse_tables(raw, Options(ts_source="record"))}
     return _TABLES[key]

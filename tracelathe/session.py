@@ -43,3 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than cores, dealt out evenly before heavy per-row work.
+    Large inputs have more splits than cores and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
+def by_group(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for per-group Python work.  The fixed number keeps Spark from merging small
+    partitions by their bytes, where the work lies in the groups."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

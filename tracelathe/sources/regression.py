@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import pandas as pd
@@ -22,16 +24,42 @@ def _run_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(test_id, uri, path) of ``<root>/*/<name>``, from the listing alone."""
-    try:
-        found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/{name}").select(F.col("path").alias("uri"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "test_id string, uri string, path string")
-    path = F.regexp_replace(_decoded(F.col("uri")), "^file:/+", "/")
-    return found.select(_run_of(path).alias("test_id"), "uri", path.alias("path"))
+def _absolute(root: str) -> str:
+    return root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+
+
+def _glob(root: str, name: str) -> str:
+    """Pattern for ``<root>/*/<name>`` with the root's own glob characters taken literally."""
+    return f"{re.sub(r'([\\\[\]{}*?])', r'\\\1', _absolute(root)).rstrip('/')}/*/{name}"
+
+
+def list_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_NAME) -> DataFrame:
+    """(test_id, path, has_trace, has_log) of the direct sub-directories; empty when there is no root.
+
+    One task lists the directory names, the files are looked up by all of them.  Spark's own file
+    sources skip empty files, which count here.
+    """
+    base = _absolute(root).rstrip("/")
+
+    def names(batches):
+        from pyarrow import fs
+        for _ in batches:
+            system, path = fs.FileSystem.from_uri(base)
+            found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            dirs = [f for f in found if f.type == fs.FileType.Directory]
+            yield pd.DataFrame({"test_id": [f.base_name for f in dirs], "path": [f.path for f in dirs]}, dtype="object")
+
+    def look(batches):
+        from pyarrow import fs
+        for pdf in batches:
+            system, _ = fs.FileSystem.from_uri(base)
+            has = lambda name: [f.type == fs.FileType.File for f in system.get_file_info(
+                [f"{p}/{name}" for p in pdf["path"]])]
+            yield pdf.assign(has_trace=has(trace), has_log=has(run_log))
+
+    dirs = spark.range(1, numPartitions=1).mapInPandas(names, "test_id string, path string")
+    return (dirs.repartition(spark.sparkContext.defaultParallelism, "test_id")
+            .mapInPandas(look, "test_id string, path string, has_trace boolean, has_log boolean"))
 
 
 def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataFrame | None:
@@ -40,8 +68,7 @@ def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataF
     Line ids rise within a file, which is one task's work (gzip does not split).
     """
     try:
-        text = spark.read.option("ignoreCorruptFiles", "true").text(
-            f"{root.rstrip('/')}/*/{name}", wholetext=whole_text)
+        text = spark.read.option("ignoreCorruptFiles", "true").text(_glob(root, name), wholetext=whole_text)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -50,16 +77,14 @@ def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataF
                        F.translate("value", "�", "").alias("raw"))
 
 
-def run_statuses(spark: SparkSession, root: str, run_log=RUN_LOG_NAME) -> DataFrame:
-    """(test_id, status) of runs that have a run log: FAIL when any line holds the mark in any case.
-
-    An empty run log passes, so presence comes from the listing.
-    """
-    listed = _files(spark, root, run_log).select("test_id")
+def run_statuses(spark: SparkSession, root: str, listed: DataFrame, run_log=RUN_LOG_NAME) -> DataFrame:
+    """(test_id, status) of the listed runs that have a run log: FAIL when any line holds the mark
+    in any case.  An empty run log passes."""
+    present = listed.where("has_log").select("test_id")
     text = _lines(spark, root, run_log)
     if text is None:
-        return listed.withColumn("status", F.lit(PASS))
-    return label_runs(listed, text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "raw"))
+        return present.withColumn("status", F.lit(PASS))
+    return label_runs(present, text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "raw"))
 
 
 def label_runs(listed: DataFrame, run_log: DataFrame) -> DataFrame:
@@ -72,17 +97,16 @@ def label_runs(listed: DataFrame, run_log: DataFrame) -> DataFrame:
 
 def collect_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_NAME) -> DataFrame:
     """The run table; runs without a trace are left out, runs without a run log are UNKNOWN."""
-    traces = _files(spark, root, trace)
-    statuses = run_statuses(spark, root, run_log)
-    return (traces.join(statuses, "test_id", "left").select(
-        "test_id", F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.col("path").alias("log_path"),
+    listed = materialize(list_runs(spark, root, trace, run_log), "listing")
+    statuses = run_statuses(spark, root, listed, run_log)
+    return (listed.where("has_trace").join(statuses, "test_id", "left").select(
+        "test_id", "path", F.concat("path", F.lit(f"/{trace}")).alias("log_path"),
         F.coalesce("status", F.lit(UNKNOWN)).alias("status"))).to(RUNS)
 
 
 def runs_without_trace(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
-    """Sub-directories that hold files but no trace."""
-    return (_files(spark, root, "*").select("test_id").distinct()
-            .join(_files(spark, root, trace).select("test_id"), "test_id", "left_anti"))
+    """Sub-directories without a trace."""
+    return list_runs(spark, root, trace).where("NOT has_trace").select("test_id")
 
 
 def passing(runs: DataFrame) -> DataFrame:
@@ -103,34 +127,42 @@ def has_failures(runs: DataFrame) -> bool:
 
 
 def unreadable(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
-    """(uri) of traces that do not decode to their end.  Each file is streamed in small blocks
-    by one task; nothing of it is kept."""
+    """(test_id) of runs whose trace does not decode to its end.  Each file is streamed in small
+    blocks by one task; nothing of it is kept."""
+    base = _absolute(root).rstrip("/")
+
+    def decodes(system, path) -> bool:
+        with system.open_input_stream(path, compression=None) as f:
+            decoder = zlib.decompressobj(31)
+            started = False
+            while block := f.read(1 << 20):
+                started = True
+                while block:
+                    if decoder.eof:
+                        block = block.lstrip(b"\0")
+                        if not block:
+                            break
+                        decoder = zlib.decompressobj(31)
+                    decoder.decompress(block)
+                    block = decoder.unused_data
+            return decoder.eof or not started
+
     def probe(batches):
         from pyarrow import fs
         for pdf in batches:
+            system, _ = fs.FileSystem.from_uri(base)
             bad = []
-            for uri in pdf["uri"]:
+            for test_id, path in zip(pdf["test_id"], pdf["path"]):
                 try:
-                    system, path = fs.FileSystem.from_uri(uri)
-                    with system.open_input_stream(path, compression=None) as f:
-                        decoder, seen = zlib.decompressobj(31), False
-                        while block := f.read(1 << 20):
-                            seen = True
-                            while block:
-                                decoder.decompress(block)
-                                block = decoder.unused_data
-                                if decoder.eof and block.strip(b"\0"):
-                                    decoder = zlib.decompressobj(31)
-                                elif decoder.eof:
-                                    break
-                        if seen and not decoder.eof:
-                            raise EOFError(uri)
-                except (OSError, EOFError, zlib.error):
-                    bad.append(uri)
-            yield pd.DataFrame({"uri": bad}, dtype="object")
-
-    files = _files(spark, root, trace).select("uri")
-    return files.mapInPandas(probe, "uri string")
+                    ok = decodes(system, f"{path}/{trace}")
+                except (OSError, zlib.error):
+                    ok = False
+                if not ok:
+                    bad.append(test_id)
+            yield pd.DataFrame({"test_id": bad}, dtype="object")
+
+    files = list_runs(spark, root, trace).where("has_trace").select("test_id", "path")
+    return files.mapInPandas(probe, "test_id string")
 
 
 def read_traces(spark: SparkSession, root: str, runs: DataFrame | None = None, trace=TRACE_NAME,
@@ -145,8 +177,8 @@ def read_traces(spark: SparkSession, root: str, runs: DataFrame | None = None, t
         return spark.createDataFrame([], RAW_LINES)
     keyed = text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "uri", "line_id", "raw")
     if check:
-        bad = unreadable(spark, root, trace).select(_run_of(_decoded(F.col("uri"))).alias("test_id"))
-        keyed = carry.keep_runs(keyed, materialize(bad, "unreadable"), "left_anti")
+        bad = materialize(unreadable(spark, root, trace), "unreadable")
+        keyed = carry.keep_runs(keyed, bad, "left_anti")
     if runs is not None:
         keyed = carry.keep_runs(keyed, runs)
     return materialize(keyed.select("test_id", "line_id", "raw"), "raw-lines")
