@@ -20,7 +20,8 @@ def kind_intervals(access: DataFrame, chunk_lines=None) -> DataFrame:
     """Mean and deviation of read and of write intervals, seconds, in log order."""
     cut = carry.log_chunks(access, chunk_lines or carry.CHUNK_LINES).select(
         *REG, "action", "is_read", "is_write", "ts_ns", "line_id", "pos", carry.CHUNK)
-    gaps = carry.with_previous(cut, [*REG, "action"], carry.LOG_ORDER, ["ts_ns"])
+    gaps = carry.with_previous(cut, [*REG, "action"], carry.LOG_ORDER, ["ts_ns"],
+                               tail_by=F.expr(carry.LOG_NUMBER))
     gap = F.col("ts_ns") - F.col("prev.ts_ns")
     read, write = F.when(F.col("is_read"), gap), F.when(F.col("is_write"), gap)
     return gaps.groupBy(*REG).agg(
@@ -33,7 +34,7 @@ def kind_intervals(access: DataFrame, chunk_lines=None) -> DataFrame:
 def timed_steps(access: DataFrame) -> DataFrame:
     """Accesses of each register with the one before in time."""
     cut = carry.time_chunks(access).select(*REG, *carry.TIME_ORDER, carry.CHUNK)
-    return carry.with_previous(cut, REG, carry.TIME_ORDER, ["ts_ns"])
+    return carry.with_previous(cut, REG, carry.TIME_ORDER, ["ts_ns"], tail_by=F.col("ts_ns"))
 
 
 def all_intervals(steps: DataFrame) -> DataFrame:

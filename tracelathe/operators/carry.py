@@ -17,6 +17,8 @@ from tracelathe.session import materialize
 
 CHUNK = "chunk"
 LOG_ORDER = ["line_id", "pos"]
+# The same order as one number (up to 2^45 lines a run, 2^18 records a line).
+LOG_NUMBER = "line_id * 262144L + pos"
 
 
 def log_chunks(df: DataFrame, lines: int = CHUNK_LINES, line="line_id") -> DataFrame:
@@ -35,11 +37,17 @@ def _row(cols) -> Column:
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
-                  out: str = "prev") -> DataFrame:
-    """Add ``out``: struct of ``cols`` from the row before within ``keys`` (null on the first)."""
+                  out: str = "prev", tail_by: Column | None = None) -> DataFrame:
+    """Add ``out``: struct of ``cols`` from the row before within ``keys`` (null on the first).
+
+    ``tail_by``, a number that rises with ``order`` (rows it ties must agree in ``cols``), lets
+    Spark find each chunk's last row by hashing when ``cols`` are numbers too.
+    """
     inside = df.withColumn(
         out, F.lag(_row(cols)).over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
-    tails = df.groupBy(*keys, CHUNK).agg(F.max_by(_row(cols), _row(order)).alias("_tail"))
+    tail = (F.max_by(_row(cols), _row(order)) if tail_by is None
+            else F.struct(*[F.max_by(c, tail_by).alias(c) for c in cols]))
+    tails = df.groupBy(*keys, CHUNK).agg(tail.alias("_tail"))
     seams = (tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(CHUNK)))
              .where(F.col("_carry").isNotNull()).drop("_tail"))
     return (inside.join(seams, [*keys, CHUNK], "left")
@@ -47,10 +55,15 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[s
 
 
 def with_next_two(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Add ``next1`` and ``next2``: structs of ``cols`` from the two rows after within ``keys``."""
+    """Add ``next1`` and ``next2``: structs of ``cols`` from the two rows after within ``keys``.
+
+    ``order_no`` is added too: one number that rises along the order, which Spark can aggregate
+    by hashing where it would sort for a struct.
+    """
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    inside = (df.withColumn("_l1", F.lead(_row(cols), 1).over(w))
-              .withColumn("_l2", F.lead(_row(cols), 2).over(w)))
+    inside = df.withColumns({
+        "_l1": F.lead(_row(cols), 1).over(w), "_l2": F.lead(_row(cols), 2).over(w),
+        "order_no": F.col(CHUNK) * F.lit(1 << 33) + F.row_number().over(w)})
     heads = (df.select(*keys, CHUNK, _row(cols).alias("_head"), F.row_number().over(w).alias("_rn"))
              .where("_rn <= 2"))
     along = Window.partitionBy(*keys).orderBy(CHUNK, "_rn")

@@ -11,26 +11,26 @@ from tracelathe.schema import CONTEXT_NS
 TOP_ERROR_TERMS = 10
 
 
-def _cells(errors: DataFrame, window_ns: int) -> DataFrame:
-    """Each error time probes the cell it lies in and the one before."""
-    cell = F.floor(F.col("err_ns") / window_ns).cast("bigint")
-    return errors.withColumn("cell", F.explode(F.array(cell - 1, cell)))
-
-
 def context_sizes(access: DataFrame, err: DataFrame, window_ns: int = CONTEXT_NS) -> DataFrame:
     """Accesses within ``window_ns`` before (and at) each error time, counted.
 
-    Accesses shrink to counts per instant and errors to distinct instants before they meet, so
-    a crowded instant costs one row on each side.
+    No pairs are formed: along the time line of a run, the count is what has passed by the error
+    less what had passed before the window opened.  Work stays linear for any window.
     """
-    instants = (access.groupBy("test_id", "ts_ns").agg(F.count("*").alias("n"))
-                .withColumn("cell", F.floor(F.col("ts_ns") / window_ns).cast("bigint")))
+    at = lambda df, ts, kind, n, err_ns: df.select(
+        "test_id", ts.alias("ts"), F.lit(kind).alias("kind"), n.alias("n"), err_ns.alias("err_ns"))
+    none, err_ns = F.lit(None).cast("bigint"), F.col("err_ns")
+    instants = access.groupBy("test_id", "ts_ns").agg(F.count("*").alias("n"))
     times = err.select("test_id", F.col("ts_ns").alias("err_ns")).distinct()
-    met = (_cells(times, window_ns).join(instants, ["test_id", "cell"])
-           .where(F.col("ts_ns").between(F.col("err_ns") - window_ns, F.col("err_ns")))
-           .groupBy("test_id", "err_ns").agg(F.sum("n").alias("context_size")))
-    return (times.join(met, ["test_id", "err_ns"], "left")
-            .withColumn("context_size", F.coalesce("context_size", F.lit(0))))
+    # Kind orders equal times: a window opens before the accesses of its instant, an error comes after.
+    line = (at(times, err_ns - window_ns, 0, F.lit(0), err_ns)
+            .unionByName(at(instants, F.col("ts_ns"), 1, F.col("n"), none))
+            .unionByName(at(times, err_ns, 2, F.lit(0), err_ns)))
+    order = ["ts", "kind"]
+    passed = carry.with_running(carry.range_chunks(line, ["test_id", *order], "time-line"),
+                                ["test_id"], order, "n", "passed")
+    signed = F.when(F.col("kind") == 2, F.col("passed")).otherwise(-F.col("passed"))
+    return (passed.where("kind <> 1").groupBy("test_id", "err_ns").agg(F.sum(signed).alias("context_size")))
 
 
 def error_context(access: DataFrame, err: DataFrame, window_ns: int = CONTEXT_NS) -> DataFrame:
@@ -42,10 +42,12 @@ def error_context(access: DataFrame, err: DataFrame, window_ns: int = CONTEXT_NS
 
 def context_rows(access: DataFrame, err: DataFrame, window_ns: int = CONTEXT_NS,
                  salts: int = 16) -> DataFrame:
-    """The context itself: one row per (error instant, access), accesses spread over salts."""
-    rows = (access.withColumn("cell", F.floor(F.col("ts_ns") / window_ns).cast("bigint"))
+    """The context itself: one row per (error instant, access), accesses spread over salts.
+    Each error time probes the time cell it lies in and the one before."""
+    rows = (access.withColumn("cell", F.expr(f"ts_ns div {window_ns}"))
             .withColumn("_salt", F.pmod(F.xxhash64("line_id", "pos"), F.lit(salts)).cast("int")))
-    times = (_cells(err.select("test_id", F.col("ts_ns").alias("err_ns")).distinct(), window_ns)
+    times = (err.select("test_id", F.col("ts_ns").alias("err_ns")).distinct()
+             .withColumn("cell", F.explode(F.expr(f"array(err_ns div {window_ns} - 1, err_ns div {window_ns})")))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     return (times.join(rows, ["test_id", "cell", "_salt"])
             .where(F.col("ts_ns").between(F.col("err_ns") - window_ns, F.col("err_ns")))

@@ -100,7 +100,7 @@ def access_vectors(access: DataFrame) -> DataFrame:
     The mean of consecutive gaps is (last - first)/(n - 1), so one aggregation does.
     """
     # Log position as one number, which Spark can aggregate by hashing (a struct it would sort).
-    at = F.expr("line_id * 1048576L + pos")
+    at = F.expr(carry.LOG_NUMBER)
 
     def gap(flag):
         order = F.when(F.col(flag), at)

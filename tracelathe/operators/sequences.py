@@ -17,7 +17,7 @@ def sequence_windows(access: DataFrame) -> DataFrame:
                                 ["descr", "action", "value_hex", "ts_ns"])
     three = lambda c: F.array(F.col(c), F.col(f"next1.{c}"), F.col(f"next2.{c}"))
     return ahead.where(F.col("next2").isNotNull()).select(
-        "test_id", F.struct(*carry.TIME_ORDER).alias("start_pos"),
+        "test_id", F.struct(*carry.TIME_ORDER).alias("start_pos"), "order_no",
         three("descr").alias("registers"), three("action").alias("actions"),
         three("value_hex").alias("values"), F.col("ts_ns").alias("start_ns"),
         F.col("next2.ts_ns").alias("end_ns"), (F.col("next2.ts_ns") - F.col("ts_ns")).alias("duration_ns"))
@@ -25,7 +25,7 @@ def sequence_windows(access: DataFrame) -> DataFrame:
 
 def sequence_counts(windows: DataFrame) -> DataFrame:
     return (windows.groupBy("test_id", F.array_join("registers", "->").alias("sequence"))
-            .agg(F.count("*").alias("n"), F.min("start_pos").alias("first_at")))
+            .agg(F.count("*").alias("n"), F.min("order_no").alias("first_at")))
 
 
 def top_sequences(counts: DataFrame, k: int = TOP_SEQUENCES) -> DataFrame:
@@ -57,5 +57,5 @@ def ai_sequences(frame: DataFrame, k: int = TOP_AI_SEQUENCES, order="text") -> D
     cut = carry.range_chunks(frame.select("test_id", *by, "descr"), ["test_id", *by], "text-order")
     ahead = carry.with_next_two(cut, ["test_id"], by, ["descr"]).where(F.col("next2").isNotNull())
     counts = (ahead.groupBy("test_id", F.concat_ws("->", "descr", "next1.descr", "next2.descr").alias("sequence"))
-              .agg(F.count("*").alias("n"), F.min(F.struct(*by)).alias("first_at")))
+              .agg(F.count("*").alias("n"), F.min("order_no").alias("first_at")))
     return top_sequences(counts, k)

@@ -81,11 +81,15 @@ def corpus_weights(counted: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
 
 
 def described(frame: DataFrame) -> DataFrame:
-    """Distinct descriptions per run with multiplicity, first row and its address."""
-    at = F.struct("part", "line_id", "pos")
-    return frame.groupBy("test_id", "descr").agg(
-        F.count("*").alias("mult"), F.min(at).alias("first_at"),
-        F.min_by("address", at).alias("address"))
+    """Distinct descriptions per run with multiplicity, first row and its address.
+
+    The big aggregation keeps numbers only, so Spark hashes it; the address is a key of it and is
+    chosen among the few per description afterwards.
+    """
+    at = F.expr("part * 2305843009213693952L + line_id * 262144L + pos")
+    few = frame.groupBy("test_id", "descr", "address").agg(F.count("*").alias("n"), F.min(at).alias("at"))
+    return few.groupBy("test_id", "descr").agg(
+        F.sum("n").alias("mult"), F.min("at").alias("first_at"), F.min_by("address", "at").alias("address"))
 
 
 def term_scores(descriptions: DataFrame, k: int = TOP_TERMS) -> DataFrame:

@@ -41,10 +41,10 @@ def deviations(features: DataFrame, baseline: DataFrame, z_limit: float = Z_LIMI
 
 def unseen(found: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of failing runs whose ``keys`` no passing run shows (registers, sequences, edges)."""
-    by_status = lambda s: found.join(runs.where(F.col("status") == s).select("test_id"), "test_id", "left_semi")
-    known = by_status(PASS).select(*keys).distinct()
-    novel = by_status(FAIL).select(*keys).distinct().join(known, keys, "left_anti")
-    return carry.salted_join(by_status(FAIL).select("test_id", *keys).distinct(), novel, keys, ["test_id"])
+    shown = found.select("test_id", *keys).distinct()
+    held = carry.salted_join(shown, runs.select("test_id", "status"), ["test_id"], keys)
+    passes = held.groupBy(*keys).agg(F.count_if(F.col("status") == PASS).alias("_p")).where("_p = 0").drop("_p")
+    return carry.salted_join(held.where(F.col("status") == FAIL).drop("status"), passes, keys, ["test_id"])
 
 
 def signatures(runs: DataFrame, err: DataFrame, deviating: DataFrame) -> DataFrame:
