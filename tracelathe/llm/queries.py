@@ -9,8 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelathe.llm import pieces, token_counts, token_store
-from tracelathe.llm.common import documents, shared_dir
+from tracelathe.llm import exact_dedup, langid, minhash, mixing, pieces, quality, repeats, simhash, token_counts, token_store
+from tracelathe.llm.common import documents, held_out, shared_dir
+
+
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_groups(documents(spark, sf_dir, "doc_id", "text"), size=3, share=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    return out.withColumns({c: simhash.as_hex(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +34,31 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id"))
+    model = quality.learn(docs, labels)
+    return quality.with_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    out = langid.with_language(docs.select("doc_id", "text"), docs.filter(~held_out("doc_id")), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.with_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalized("text"), 256).alias("text_sha256"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept_bytes")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.with_token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -31,5 +70,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op4_pieces": op4_pieces, "op8_token_counts": op8_token_counts, "op10_token_store": op10_token_store}
+QUERIES = {q.__name__: q for q in (op1_minhash, op2_mixing, op3_simhash, op4_pieces, op5_quality, op6_langid, op7_exact_dedup,
+                                   op8_token_counts, op9_repeats, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
