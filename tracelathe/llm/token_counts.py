@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm import token_units
+from tracelathe.llm.byte_units import words_with_space
 from tracelathe.llm.common import by_bytes, plain, small_batches, texts_of
 
 
@@ -23,14 +25,10 @@ def count_tokens(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
     """
     @F.arrow_udf("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = token_units.cache(path, "length", len)
+        encoder = token_units.encoder(path, words_with_space)
         for batch in batches:
-            out = []
-            for part in by_bytes(batch, slice_bytes):
-                units = [token_units.units(t) for t in texts_of(part)]
-                size = known.ready([u for us in units for u in us]).__getitem__
-                out += [sum(map(size, us)) for us in units]
-            yield pa.array(out, pa.int64())
+            parts = [encoder.counts(texts_of(part)) for part in by_bytes(batch, slice_bytes)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
     return lengths(text)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelathe.llm import token_units
+from tracelathe.llm.byte_units import LOWER, words_alone
 from tracelathe.llm.common import by_bytes, small_batches, texts_of
 
 #: Fixed values of Simple-8b: how many integers a word holds, for selectors 0 to 13.
@@ -32,35 +33,62 @@ SEGMENT = ("shard int, segment int, shard_start long, n_ids long, doc_ids array<
            "block_words array<int>, block_escapes array<int>, words binary")
 
 
-def pack_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escaped values of at most one block of unsigned integers."""
-    n = len(values)
-    ends, take, choice = np.arange(n), np.ones(n, np.int64), np.full(n, ESCAPE, np.uint64)
-    top = int(values.max()) if n else 0
+def pack(values: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int], list[int]]:
+    """All blocks of ``values`` after each other, and how many words and escapes each has."""
+    n, gap = len(values), max(COUNTS)
+    if not n:
+        return b"", [], []
+    values = values.astype(np.uint32 if int(values.max()) < 1 << 32 else np.uint64)
+    blocks = -(-n // block)
+    # Room after each block: what lies past its end fits any word.
+    padded = np.zeros((blocks, block + gap), values.dtype)
+    padded[:n // block, :block] = values[:n // block * block].reshape(-1, block)
+    if n % block:
+        padded[-1, :n % block] = values[n // block * block:]
+    padded = padded.ravel()
+    take, choice = np.ones(len(padded), np.uint8), np.full(len(padded), ESCAPE, np.uint8)
+    # More ids to a word leave each fewer bits: where n ids don't fit, more won't.
+    where, most, held = np.arange(n) + gap * (np.arange(n) // block), values, 1
     for selector in range(len(COUNTS) - 1, -1, -1):
         count = COUNTS[selector]
-        bits = 60 // count
-        if top >> bits == 0:
-            fits = np.ones(n, bool)
-        else:  # the next value that is too wide must be at least `count` away; past the end all fit
-            wide = np.where(values >> np.uint64(bits) > 0, ends, n + 60)
-            fits = np.minimum.accumulate(wide[::-1])[::-1] - ends >= count
-            if not fits.any():
-                break
-        take[fits], choice[fits] = count, selector
-    steps, starts, at = take.tolist(), [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
+        for k in range(held, count):
+            most = np.maximum(most, padded[where + k])
+        held, bits = count, 60 // count
+        if bits < 64 if values.dtype == np.uint64 else bits < 32:
+            fits = most < values.dtype.type(1 << bits)
+            where, most = where[fits], most[fits]
+        if not len(where):
+            break
+        take[where], choice[where] = count, selector
+    steps, starts, words = take.tolist(), [], []
+    add = starts.append
+    for k in range(blocks):
+        at, before = k * (block + gap), len(starts)
+        end = at + min(block, n - k * block)
+        while at < end:
+            add(at)
+            at += steps[at]
+        words.append(len(starts) - before)
     starts = np.array(starts, np.int64)
-    words = choice[starts] if n else np.zeros(0, np.uint64)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
-    for selector in np.unique(words).tolist():
+    selectors = choice[starts]
+    out = selectors.astype(np.uint64)
+    for selector in np.unique(selectors).tolist():
         if selector != ESCAPE:
-            count, mine = COUNTS[selector], np.flatnonzero(words == selector)
-            shift = np.uint64(4) + np.arange(count, dtype=np.uint64) * np.uint64(60 // count)
-            words[mine] |= np.bitwise_or.reduce(padded[starts[mine][:, None] + np.arange(count)] << shift, axis=1)
-    return words, values[starts[choice[starts] == ESCAPE]] if n else values
+            count, mine = COUNTS[selector], np.flatnonzero(selectors == selector)
+            first = starts[mine]
+            packed = out[mine]
+            for k in range(count):
+                packed |= padded[first + k].astype(np.uint64) << np.uint64(4 + k * (60 // count))
+            out[mine] = packed
+    escaped = selectors == ESCAPE
+    ends = np.cumsum(words)
+    if not escaped.any():
+        return out.astype("<u8").tobytes(), words, [0] * blocks
+    many = np.diff(np.concatenate([[0], np.cumsum(escaped)[ends - 1]])).tolist()
+    parts = []
+    for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+        parts += [out[a:b], padded[starts[a:b][escaped[a:b]]].astype(np.uint64)]
+    return np.concatenate(parts).astype("<u8").tobytes(), words, many
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -80,17 +108,6 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def pack(values: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int], list[int]]:
-    """All blocks after each other, and how many words and escapes each has."""
-    parts, words, escapes = [], [], []
-    for a in range(0, len(values), block):
-        w, e = pack_block(values[a:a + block].astype(np.uint64))
-        parts += [w, e]
-        words.append(len(w))
-        escapes.append(len(e))
-    return b"".join(p.astype("<u8").tobytes() for p in parts), words, escapes
-
-
 def unpack_all(data: bytes, words: list[int], escapes: list[int], n: int, block: int = BLOCK) -> np.ndarray:
     raw, at, out = np.frombuffer(data, "<u8"), 0, []
     for k, (w, e) in enumerate(zip(words, escapes)):
@@ -104,23 +121,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, d
     """Encode all texts, append ``end_id`` to each document, write them in ascending order of ``doc_id``.
 
     Null texts are empty: the end id alone.  Rows of one id are ordered by text, null ids come
-    first.  Documents stay whole: a segment ends with the document that makes it full.
+    first.  Documents stay whole: a segment ends with the slice that makes it full.
     An empty table makes an empty store.
     """
-    tail = np.array([end_id], "<u4").tobytes()
-
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = token_units.cache(tokenizer_path, "ids", lambda e: np.array(e.ids, "<u4").tobytes())
+        encoder = token_units.encoder(tokenizer_path, words_alone, LOWER)
         shard, number, shard_start = TaskContext.get().partitionId(), 0, 0
-        ids, rows, held = [], [], 0
+        ids, rows, lengths, held = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            data, words, escapes = pack(np.frombuffer(b"".join(rows), "<u4"))
+            data, words, escapes = pack(np.concatenate(rows))
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([number], pa.int32()),
                 "shard_start": pa.array([shard_start]), "n_ids": pa.array([held]),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                "lengths": pa.array([[len(r) // 4 for r in rows]], pa.list_(pa.int32())),
+                "lengths": pa.array([lengths], pa.list_(pa.int32())),
                 "block_words": pa.array([words], pa.list_(pa.int32())),
                 "block_escapes": pa.array([escapes], pa.list_(pa.int32())), "words": pa.array([data], pa.binary())})
 
@@ -128,17 +143,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, d
             seen = 0
             names = batch.column(0).to_pylist()
             for part in by_bytes(batch.column(1), slice_bytes):
-                units = [token_units.units(t) for t in texts_of(part)]
-                of = known.ready([u for us in units for u in us]).__getitem__
-                for us in units:
-                    row = b"".join(map(of, us)) + tail
-                    ids.append(names[seen])
-                    rows.append(row)
-                    seen += 1
-                    held += len(row) // 4
-                    if held >= segment_ids:
-                        yield segment()
-                        number, shard_start, ids, rows, held = number + 1, shard_start + held, [], [], 0
+                texts = texts_of(part)
+                flat, borders = encoder.ids(texts)
+                rows.append(np.insert(flat, borders[1:], end_id))
+                sizes = np.diff(borders) + 1
+                ids += names[seen:seen + len(texts)]
+                lengths += sizes.tolist()
+                seen, held = seen + len(texts), held + int(sizes.sum())
+                if held >= segment_ids:
+                    yield segment()
+                    number, shard_start, ids, rows, lengths, held = number + 1, shard_start + held, [], [], [], 0
         if rows:
             yield segment()
 
