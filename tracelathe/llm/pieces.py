@@ -9,15 +9,14 @@ else the next shorter piece, and steps back where none fits.  A bitfield keeps t
 which nothing went on, so the walk stays linear.  Whether two pieces fit is decided by merging
 their joined string anew, and kept.
 
-No piece of the vocabulary holds a blank mark after another character, nor a character that no
-piece holds, so such places always part two pieces: texts are cut there, and each distinct unit is
+Where a text has two neighbouring bytes that no piece holds next to each other (a blank after a
+letter, say), the encoding always has a border: texts are cut there, and each distinct unit is
 encoded once per worker.
 """
 
 from __future__ import annotations
 
 import codecs
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelathe.llm.common import UnitCache, by_bytes, plain, small_batches, texts_of
+from tracelathe.llm.byte_units import Slice, UnitTable, between_strangers, gather, never_inside
+from tracelathe.llm.common import by_bytes, plain, small_batches, texts_of
 
 MARK = "▁"  # fixed value: stands for a blank
 _MODELS: dict = {}
@@ -59,12 +59,10 @@ class PieceEncoder:
         # The next shorter piece with which a piece begins; a lone character always is one.
         known = set(reachable)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in known), None) for p in reachable}
-        if any(MARK in p.lstrip(MARK) for p in self.id_of):
-            raise ValueError("pieces span blanks; this vocabulary needs other units")
-        inside = {c for p in self.id_of for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in inside)
-        self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache = UnitCache(lambda units: [np.array(self.ids(u), np.int32).tobytes() for u in units])
+        self.strangers = never_inside(p.replace(MARK, " ").encode() for p in reachable)
+        self.table = UnitTable(lambda units: [self.ids(u.replace(" ", MARK)) for u in units])
+        self.byte_ends = np.cumsum([0, *map(len, self.bytes_of)])
+        self.bytes_flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def merged(self, text: str) -> list[str]:
         """Merge the pair of the best score, leftmost first, until none is left."""
@@ -97,23 +95,29 @@ class PieceEncoder:
                 longest[start] = size
         failed = 0  # bit p: nothing that begins at position p leads to the end
         out: list[str] = []
-        pos = 0
+        pairs, shorter, last, pos = self.pairs, self.shorter, "", 0
         piece = text[:longest[0]]
         while pos < n:
             while piece is not None:
                 end = pos + len(piece)
-                if not failed >> end & 1 and (not out or self.fits(out[-1], piece)):
-                    break
-                piece = self.shorter.get(piece)
+                if not failed >> end & 1:
+                    if not last:
+                        break
+                    fits = pairs.get((last, piece))
+                    if fits is None:
+                        fits = self.fits(last, piece)
+                    if fits:
+                        break
+                piece = shorter.get(piece)
             if piece is not None:
                 out.append(piece)
-                pos = end
+                last, pos = piece, end
                 piece = text[pos:pos + longest[pos]]
             else:
                 failed |= 1 << pos
-                last = out.pop()
-                pos -= len(last)
-                piece = self.shorter.get(last)
+                piece = out.pop()
+                pos -= len(piece)
+                piece, last = shorter.get(piece), out[-1] if out else ""
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -126,14 +130,26 @@ class PieceEncoder:
                 out.append(i)
         return out
 
-    def units(self, text: str) -> list[str]:
-        return self.unit.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return (raw[1:] if self.marked[ids[0]] else raw).decode("utf-8", "byte-by-byte")
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the borders of the texts among them."""
+        usual = ["\0" not in t for t in texts]  # zero bytes can't be looked up: such texts are walked whole
+        # A blank stands before each text, and a mark in the text is a blank to the library.
+        part = Slice([t.replace(MARK, " ") if u else "" for t, u in zip(texts, usual)], prefix=b" ")
+        at, ends = between_strangers(part, self.strangers)
+        flat, borders = self.table.expand(self.table.lookup(part, at, ends))
+        borders = borders[part.per_text(at)]
+        if all(usual):
+            return flat, borders
+        rows = [flat[a:b] if u else np.array(self.ids(MARK + t.replace(" ", MARK)), np.int32)
+                for t, u, a, b in zip(texts, usual, borders, borders[1:])]
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    def decode(self, ids: np.ndarray, borders: np.ndarray) -> list[str]:
+        """The texts of ids between the borders."""
+        raw, ends = gather(self.bytes_flat, self.byte_ends, ids)
+        raw, cut = raw.tobytes(), ends[borders].tolist()
+        skip = [a < b and self.marked[ids[a]] for a, b in zip(borders, borders[1:])]  # the blank put before the first word
+        return [raw[a + s:b].decode("utf-8", "byte-by-byte") for a, b, s in zip(cut, cut[1:], skip)]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -150,13 +166,10 @@ def encode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder(path)
         for batch in batches:
-            rows: list[bytes] = []
-            for part in by_bytes(batch, slice_bytes):
-                units = [model.units(t) for t in texts_of(part)]
-                of = model.cache.ready([u for us in units for u in us]).__getitem__
-                rows += [b"".join(map(of, us)) for us in units]
-            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            parts = [model.encode(texts_of(part)) for part in by_bytes(batch, slice_bytes)]
+            sizes = [np.zeros(1, np.int64), *(np.diff(borders) for _, borders in parts)]
+            flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(flat, pa.int32()))
 
     return ids(text)
 
@@ -168,8 +181,7 @@ def decode(ids: Column, path: str) -> Column:
         model = encoder(path)
         for batch in batches:
             flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-            yield pa.array([model.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string(),
-                           mask=np.asarray(batch.is_null()))
+            yield pa.array(model.decode(flat, ends), pa.string(), mask=np.asarray(batch.is_null()))
 
     return texts(ids)
 
