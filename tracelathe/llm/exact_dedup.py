@@ -8,7 +8,8 @@ possible twin are carried along.
 
 A level counts its groups (combined before the shuffle, so a group that holds a third of all rows
 costs one row per task) and joins the counts back; adaptive execution splits the rows of a hot
-group in that join.  No group ever meets in one task.
+group in that join.  No group ever meets in one task.  Joins that move texts ask for a merge join:
+the groups grow with the input, so a plan that broadcasts them on small data tells nothing about large.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def with_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     groups = (digits.groupBy("__length", "__head").agg(F.count("*").alias("__n")).filter("__n > 1")
               .withColumn("__group", F.monotonically_increasing_id()))
     groups = materialize(groups, "radix-groups")  # group numbers hold from here on
-    rows = digits.join(groups.drop("__n"), ["__length", "__head"], "left").drop("__head")
+    rows = digits.join(groups.drop("__n").hint("merge"), ["__length", "__head"], "left").drop("__head")
     rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "radix-rows")
 
     alone, twins = rows.filter("__group IS NULL"), rows.filter("__group IS NOT NULL")
@@ -58,7 +59,7 @@ def with_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         level = level.withColumn("__digit", digit)
         split = (level.groupBy("__group", "__digit").agg(F.count("*").alias("__n"), F.min("__row").alias("__next"))
                  .filter("__n > 1"))
-        level = materialize(level.join(split, ["__group", "__digit"])
+        level = materialize(level.join(split.hint("merge"), ["__group", "__digit"])
                             .select("__row", "__id", "__length", F.col("__next").alias("__group"), "__body"),
                             "radix-level")
         offset *= WIDENING
@@ -71,7 +72,7 @@ def with_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
              .groupBy(*key).agg(F.min("__row").alias("__kept")))
     ended = ended.join(first, key).select("__row", "keep_id", "group_size", (F.col("__row") == F.col("__kept")).alias("kept"))
     single = [F.col(doc_id).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")]
-    twins = twins.join(ended, "__row", "left")  # a row that a later digit set apart is alone, too
+    twins = twins.join(ended.hint("merge"), "__row", "left")  # a row that a later digit set apart is alone, too
     twins = twins.withColumns({"keep_id": F.when(F.col("kept").isNull(), F.col(doc_id)).otherwise(F.col("keep_id")),
                                "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
                                "kept": F.coalesce("kept", F.lit(True))})
