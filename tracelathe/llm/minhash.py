@@ -223,11 +223,11 @@ def near_groups(df: DataFrame, size: int = 5, share: int = 80, doc_id: str = "do
 
     wanted = edges.select(F.col("m").alias("set_key")).union(edges.select(F.col("h").alias("set_key"))).distinct()
     ids = docs.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    sets = (source.join(ids, source["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = (source.join(ids.hint("merge"), source["doc_id"].eqNullSafe(ids["id"]), "left_semi")
             .select(shingle_sets(F.col("text"), size).alias("s")).select("s.*")
             .join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]))
     sets = materialize(sets, "sets")
-    of = lambda name, key: sets.select(F.col("set_key").alias(key), F.col("shingles").alias(name))
+    of = lambda name, key: sets.select(F.col("set_key").alias(key), F.col("shingles").alias(name)).hint("merge")
     common = F.size(F.array_intersect("x", "y"))
     confirmed = 100 * common >= share * (F.size("x") + F.size("y") - common)
     tried = materialize(edges.join(of("x", "m"), "m").join(of("y", "h"), "h")
@@ -261,7 +261,7 @@ def without_near_duplicates(df: DataFrame, size: int = 5, share: int = 80, doc_i
     chosen = (chosen.join(repeated, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")))
               .select("__id", "__key", "__n"))
     rows = (df.withColumn("__text_key", F.md5(F.coalesce(text, F.lit(""))))
-            .join(chosen, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))))
+            .join(chosen.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))))
     rows = materialize(rows, "near-kept")
     once = rows.filter("__n = 1").unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__key"]))
     return plain(once, "__text_key", "__id", "__key", "__n")

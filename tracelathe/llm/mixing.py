@@ -129,6 +129,6 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", source: str = "source
               .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies")).filter("__copies > 0")
               .withColumnsRenamed({"doc_id": "__id", "source": "__of", "text_key": "__key"}))
     rows = df.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__of")) & (F.col("__text_key") == F.col("__key")))
+    rows = rows.join(copies.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__of")) & (F.col("__text_key") == F.col("__key")))
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return plain(rows, "__id", "__of", "__key", "__text_key", "__copies", "__copy")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelathe.llm import exact_dedup, langid, minhash, mixing, pieces, quality, repeats, simhash, token_counts, token_store
 from tracelathe.llm.common import documents, held_out, shared_dir
+from tracelathe.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,3 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_minhash, op2_mixing, op3_simhash, op4_pieces, op5_quality, op6_langid, op7_exact_dedup,
                                    op8_token_counts, op9_repeats, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}

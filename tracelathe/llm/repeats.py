@@ -224,7 +224,7 @@ def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", hot: in
                              bytes=pa.array([raw[max(0, p - back):p + length] for p in pos], pa.binary()))
 
     texts_named = with_digest(named, "text").select("__digest", "text").dropDuplicates(["__digest"])
-    contexts = (texts_named.join(wanted, F.col("__digest") == F.col("digest")).select("digest", "text", "places")
+    contexts = (texts_named.join(wanted.hint("merge"), F.col("__digest") == F.col("digest")).select("digest", "text", "places")
                 .mapInArrow(cut, "bucket long, m long, digest binary, start long, bytes binary"))
     contexts = materialize(contexts, "contexts")
     spans = refine(contexts.filter(F.col("m") <= hot), length)
@@ -276,5 +276,5 @@ def without_repeats(df: DataFrame, length: int = 400, text: str = "text", hot: i
             [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
             ["spans", "kept_bytes"])
 
-    rows = with_digest(df, text).join(found, F.col("__digest") == F.col("digest"), "left")
+    rows = with_digest(df, text).join(found.hint("merge"), F.col("__digest") == F.col("digest"), "left")
     return rows.withColumn("__cut", cut(F.col(text), F.col("__spans"))).select(*df.columns, "__cut.spans", "__cut.kept_bytes")
