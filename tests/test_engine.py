@@ -50,6 +50,7 @@ def root(tmp_path_factory):
     _run(root, "t_cut", gzip.compress("\n".join(_trace(2) * 2000).encode())[:-2000], "uvm_error\n")
     _run(root, "t_twice", gzip.compress(b"[1] MEM_R [0x1] 32b a.b 0x1\r\n") + gzip.compress(b"[2] MEM_R [0x1] 32b a.b 0x2"), None)
     _run(root, "t_void", b"", None)
+    _run(root, "t_silent", b"", "uvm_error\n")
     _run(root, "t_bytes", ["[1] MEM_R [0x1] 32b a\udcff.b 0x1"], "ok")
     with open(os.path.join(root, "plain.txt"), "w") as f:
         f.write("ignored")
@@ -60,12 +61,12 @@ def test_statuses(spark, root):
     runs = {r.test_id: r for r in regression.collect_runs(spark, root).collect()}
     assert {k: r.status for k, r in runs.items()} == {
         **{f"t_pass{k}": "PASS" for k in range(4)}, "t_fail": "FAIL", "t_zero": "FAIL", "t_empty": "PASS",
-        "t_unknown": "UNKNOWN", "t_twice": "UNKNOWN", "t_void": "UNKNOWN", "t_badgz": "FAIL", "t_cut": "FAIL", "t_bytes": "PASS"}
+        "t_unknown": "UNKNOWN", "t_twice": "UNKNOWN", "t_void": "UNKNOWN", "t_badgz": "FAIL", "t_cut": "FAIL", "t_silent": "FAIL", "t_bytes": "PASS"}
     assert runs["t_fail"].log_path == os.path.join(root, "t_fail", "ptracker.log.gz")
     assert runs["t_fail"].path == os.path.join(root, "t_fail")
     df = regression.collect_runs(spark, root)
-    assert {r.status: r.n for r in regression.status_counts(df).collect()} == {"PASS": 6, "FAIL": 4, "UNKNOWN": 3}
-    assert regression.passing(df).count() == 6 and regression.failing(df).count() == 4
+    assert {r.status: r.n for r in regression.status_counts(df).collect()} == {"PASS": 6, "FAIL": 5, "UNKNOWN": 3}
+    assert regression.passing(df).count() == 6 and regression.failing(df).count() == 5
     assert [r.test_id for r in regression.runs_without_trace(spark, root).collect()] == ["t_notrace"]
 
 
@@ -92,9 +93,13 @@ def test_whole_run(spark, root, tmp_path):
     assert out["register_importance"].count() > 0 and "ai_importance" in out["access"].columns
     long = out["run_features"]
     assert {r.family for r in long.select("family").distinct().collect()} == set(features.FAMILIES)
-    assert {r.test_id for r in long.select("test_id").distinct().collect()} == parsed
+    counted = {r.test_id for r in long.select("test_id").distinct().collect()}
+    assert parsed < counted and counted - parsed == {"t_silent"}  # an empty trace has no records, but counts
+    assert long.where("test_id = 't_silent' AND feature = 'error_count'").first().value == 0.0
     buckets = out["failure_buckets"].collect()
-    assert sum(b.size for b in buckets) == 2 and {b.message for b in buckets} == {"timeout at <hex> code <n>"}
+    assert sum(b.size for b in buckets) == 5
+    assert {b.message for b in buckets} == {"timeout at <hex> code <n>", "(no records)"}
+    assert [b.size for b in buckets if b.message == "(no records)"] == [3]
     assert spark.read.parquet(str(tmp_path / "out" / "triage_report")).count() == out["triage_report"].count() > 0
     assert spark.read.json(str(tmp_path / "out" / "failure_buckets")).count() == len(buckets)
     for name in ("unseen_registers", "unseen_sequences", "unseen_edges", "register_anomalies", "access_clusters"):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelathe.operators import embed, evidence, forest, parse, text
+from tracelathe.operators import embed, evidence, forest, parse, registers, text, triage
 from tracelathe.operators.cluster import density_clusters
 
 
@@ -167,3 +167,29 @@ def test_cluster_evidence_takes_first_twenty(spark):
     clusters = spark.createDataFrame([("t", f"r{i:02d}", i, 0) for i in range(30)], "test_id string, descr string, first_at long, cluster_id int")
     seqs = spark.createDataFrame([], "test_id string, sequence string, n long, rank int")
     assert {r.descr for r in evidence.register_importance(top, clusters, seqs).collect()} == {f"r{i:02d}" for i in range(20)}
+
+
+def test_line_ids_of_late_partitions(spark, access_of):
+    """Ids as Spark gives them in input partition 5000."""
+    from tracelathe.operators import access_patterns
+    access = access_of([("t", 10 * i, "RW"[i % 2], f"u.r[{i % 4}]", i) for i in range(40)])
+    far = access.withColumn("line_id", F.col("line_id") + F.lit(5000 << 33))
+    shown = lambda df: sorted(map(str, df.collect()))
+    for build in (access_patterns.interval_stats, lambda a: registers.access_vectors(a).drop("first_at")):
+        assert shown(build(access)) == shown(build(far))
+    fsm = parse.parse_fsm(spark.createDataFrame([("t", 5000 << 33, "[5] FSM a: X -> Y")], "test_id string, line_id long, raw string"))
+    frame = parse.analysis_frame(far, fsm)
+    found = evidence.extract_intelligence(far, frame)
+    assert found["register_importance"].count() > 0
+
+
+def test_report_holds_all_runs_of_a_bucket(spark):
+    runs = spark.createDataFrame([(f"f{k}", "FAIL") for k in range(3)], "test_id string, status string")
+    rows = [(f"f{k}", "temporal_patterns", "", f"x{j:02d}", 1.0, 0.0, 1.0, 0.0, 0.0, float(j + 10 * k + 4), True) for k in range(3) for j in range(15)]
+    dev = spark.createDataFrame(rows, "test_id string, family string, entity string, feature string, value double, mean double, std double, p05 double, p95 double, z double, outside boolean")
+    err = spark.createDataFrame([], "test_id string, ts_ns long, line_id long, pos int, message string")
+    signed = triage.signatures(runs, err, dev)
+    report = triage.triage_report(triage.failure_buckets(signed), signed, dev).orderBy("rank").collect()
+    assert [r["rank"] for r in report] == list(range(1, 46)) and {r["test_id"] for r in report} == {"f0", "f1", "f2"}
+    assert [abs(r["z"]) for r in report] == sorted((abs(r["z"]) for r in report), reverse=True)
+    assert triage.triage_report(triage.failure_buckets(signed), signed, dev, k=5).count() == 5

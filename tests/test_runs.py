@@ -36,6 +36,13 @@ def test_machine_summary_and_visits(lines_of):
     assert len(dense) == 9 and dense[("A", "B")] == 1 and dense[("B", "C")] == 0
 
 
+def test_cycles_of_any_length_are_known(lines_of):
+    for n in (6, 40):
+        ring = lines_of(*[f"FSM ring: S{k:02d} -> S{(k + 1) % n:02d}" for k in range(n)], *[f"FSM line: S{k:02d} -> S{k + 1:02d}" for k in range(n)])
+        summary = machines.fsm_summary(machines.transitions(parse.parse_fsm(ring))).collect()
+        assert {r.fsm_name: (r.n_cycles, r.has_cycles) for r in summary} == {"ring": (0, True), "line": (0, False)}
+
+
 def test_cycles_once_each(lines_of):
     lines = lines_of(*[f"[{i}] FSM m: {e}" for i, e in enumerate(["A -> A", "A -> B", "B -> A", "B -> C", "C -> A"])])
     found = machines.cycles(machines.transitions(parse.parse_fsm(lines))).collect()

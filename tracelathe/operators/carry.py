@@ -17,8 +17,8 @@ from tracelathe.session import materialize
 
 CHUNK = "chunk"
 LOG_ORDER = ["line_id", "pos"]
-# The same order as one number (up to 2^45 lines a run, 2^18 records a line).
-LOG_NUMBER = "line_id * 262144L + pos"
+# The same order as one number, for any BIGINT line id (up to 2^18 records a line).
+LOG_NUMBER = "CAST(line_id AS DECIMAL(20, 0)) * 262144 + pos"
 
 
 def log_chunks(df: DataFrame, lines: int = CHUNK_LINES, line="line_id") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracelathe.functions.exprs import count_entropy
 from tracelathe.schema import MIN_TRANSITIONS
+from tracelathe.session import materialize
 
 FSM = ["test_id", "fsm_name"]
-MAX_CYCLE = 5
+MAX_CYCLE = 5  # how long the listed cycles are at most; whether there are any doesn't depend on it
 _AT = ["ts_ns", "kind_rank", "line_id", "pos"]
 
 
@@ -54,7 +55,10 @@ def transition_matrix(edges: DataFrame, dense=False) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
-    """Simple cycles up to ``max_length``, each once, starting at its smallest state."""
+    """Simple cycles up to ``max_length`` states, each once, starting at its smallest state.
+
+    Their number may grow exponentially with the length, so the listing takes a bound;
+    ``cyclic`` tells for any length whether a machine has cycles."""
     step = edges.select(*FSM, F.col("from_state").alias("_from"), F.col("to_state").alias("_to"))
     paths = step.where("_to >= _from").select(
         *FSM, F.col("_from").alias("start"), F.col("_to").alias("at"), F.array("_from").alias("states"))
@@ -71,20 +75,44 @@ def cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
     return found.select(*FSM, F.size("states").alias("length"), F.array_join("states", "->").alias("cycle"))
 
 
-def fsm_summary(edges: DataFrame) -> DataFrame:
-    """One row per machine; states, edges and cycles as such are in their own tables."""
+def cyclic(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Machines with a cycle of any length.  States without a way in or out are taken away until
+    nothing changes: what is left holds cycles.  ``known`` machines need no look."""
+    left = edges.select(*FSM, "from_state", "to_state").where("from_state <> to_state")
+    if known is not None:
+        left = left.join(known.select(*FSM), FSM, "left_anti")
+    left = materialize(left, "ways")
+    size = left.count()
+    while size:
+        entered = left.select(*FSM, F.col("to_state").alias("from_state")).distinct()
+        exited = left.select(*FSM, F.col("from_state").alias("to_state")).distinct()
+        left = materialize(left.join(entered, [*FSM, "from_state"], "left_semi")
+                           .join(exited, [*FSM, "to_state"], "left_semi").select(*FSM, "from_state", "to_state"), "ways")
+        before, size = size, left.count()
+        if size == before:
+            break
+    loops = edges.where("from_state = to_state").select(*FSM)
+    found = left.select(*FSM).union(loops)
+    return (found if known is None else found.union(known.select(*FSM))).distinct()
+
+
+def fsm_summary(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
+    """One row per machine; states, edges and cycles as such are in their own tables.  ``n_cycles``
+    counts those of up to ``max_length`` states, ``has_cycles`` knows them all."""
+    edges = materialize(edges, "fsm-edges")
     totals = edges.groupBy(*FSM).agg(
         F.sum("n").alias("total"), F.count("*").alias("n_transitions"),
         count_entropy(F.col("n")).alias("entropy"),
         F.min_by("from_state", "first_at").alias("start_state"),
         F.max_by("to_state", "last_at").alias("end_state"))
     visited = state_visits(edges).groupBy(*FSM).agg(F.count("*").alias("n_states"))
-    looped = cycles(edges).groupBy(*FSM).agg(
+    looped = materialize(cycles(edges, max_length).groupBy(*FSM).agg(
         F.count_if(F.col("length") == 1).alias("n_self_loops"),
         F.count_if(F.col("length") == 2).alias("n_two_cycles"),
-        F.count("*").alias("n_cycles"))
+        F.count("*").alias("n_cycles")), "fsm-cycles")
+    some = cyclic(edges, looped).withColumn("_cyclic", F.lit(True))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return totals.join(visited, FSM).join(looped, FSM, "left").select(
+    return totals.join(visited, FSM).join(looped, FSM, "left").join(some, FSM, "left").select(
         *FSM, "total", "n_transitions", "n_states", "start_state", "end_state", "entropy",
         zero("n_self_loops"), zero("n_two_cycles"), zero("n_cycles"),
-        (F.coalesce("n_cycles", F.lit(0)) > 0).alias("has_cycles"))
+        F.coalesce("_cyclic", F.lit(False)).alias("has_cycles"))

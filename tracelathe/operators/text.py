@@ -86,7 +86,7 @@ def described(frame: DataFrame) -> DataFrame:
     The big aggregation keeps numbers only, so Spark hashes it; the address is a key of it and is
     chosen among the few per description afterwards.
     """
-    at = F.expr("part * 2305843009213693952L + line_id * 262144L + pos")
+    at = F.expr(f"CAST(part AS DECIMAL(8, 0)) * CAST(1E27 AS DECIMAL(28, 0)) + ({carry.LOG_NUMBER})")
     few = frame.groupBy("test_id", "descr", "address").agg(F.count("*").alias("n"), F.min(at).alias("at"))
     return few.groupBy("test_id", "descr").agg(
         F.sum("n").alias("mult"), F.min("at").alias("first_at"), F.min_by("address", "at").alias("address"))

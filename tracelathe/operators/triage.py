@@ -14,6 +14,11 @@ from tracelathe.schema import FAIL, PASS
 
 KEY = ["family", "entity", "feature"]
 Z_LIMIT = 3.0
+NO_RECORDS = "(no records)"
+
+
+def _bucket():
+    return F.sha2(F.concat_ws("|", "message", "register"), 256)
 
 
 def finite(features: DataFrame) -> DataFrame:
@@ -47,34 +52,45 @@ def unseen(found: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     return carry.salted_join(held.where(F.col("status") == FAIL).drop("status"), passes, keys, ["test_id"])
 
 
-def signatures(runs: DataFrame, err: DataFrame, deviating: DataFrame) -> DataFrame:
-    """Failing runs by masked first error message and most deviating register."""
+def signatures(runs: DataFrame, err: DataFrame, deviating: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Failing runs by masked first error message and most deviating register.
+
+    With ``parsed`` (test_id) given, failing runs that are not in it share a message of their own."""
     first = err.groupBy("test_id").agg(
         F.min_by("message", F.struct("ts_ns", "line_id", "pos")).alias("message"))
     worst = (deviating.where((F.col("family") == "register_values") & F.col("z").isNotNull())
              .groupBy("test_id").agg(
                  F.min_by("entity", F.struct(-F.round(F.abs("z"), 6), "entity", "feature")).alias("register"),
                  F.max(F.abs("z")).alias("max_z")))
-    return (runs.where(F.col("status") == FAIL).select("test_id").join(first, "test_id", "left")
-            .join(worst, "test_id", "left").select(
-                "test_id", F.coalesce(masked(F.col("message")), F.lit("")).alias("message"),
-                F.coalesce("register", F.lit("")).alias("register"),
-                F.coalesce("max_z", F.lit(0.0)).alias("max_z")))
+    failing = runs.where(F.col("status") == FAIL).select("test_id")
+    if parsed is None:
+        failing = failing.withColumn("_parsed", F.lit(True))
+    else:
+        failing = failing.join(parsed.select("test_id").distinct().withColumn("_parsed", F.lit(True)), "test_id", "left")
+    without = F.when(F.col("_parsed").isNull(), NO_RECORDS).otherwise("")
+    return failing.join(first, "test_id", "left").join(worst, "test_id", "left").select(
+        "test_id", F.coalesce(masked(F.col("message")), without).alias("message"),
+        F.coalesce("register", F.lit("")).alias("register"),
+        F.coalesce("max_z", F.lit(0.0)).alias("max_z"))
 
 
 def failure_buckets(signed: DataFrame) -> DataFrame:
     """Runs with the same signature; the representative is the smallest run id."""
-    bucket = F.sha2(F.concat_ws("|", "message", "register"), 256)
-    return signed.groupBy(bucket.alias("bucket_id"), "message", "register").agg(
+    return signed.groupBy(_bucket().alias("bucket_id"), "message", "register").agg(
         F.count("*").alias("size"), F.min("test_id").alias("representative"), F.max("max_z").alias("max_z"))
 
 
-def triage_report(buckets: DataFrame, signed: DataFrame, deviating: DataFrame, per_bucket: int = 10) -> DataFrame:
-    """The strongest deviations of each bucket's representative, ranked."""
-    rows = (buckets.select("bucket_id", "size", F.col("representative").alias("test_id"))
-            .join(deviating.where(F.col("z").isNotNull()), "test_id"))
-    return carry.at_most(rows, ["bucket_id"], [F.desc(F.round(F.abs("z"), 6)), *[F.asc(k) for k in KEY]],
-                         per_bucket).select("bucket_id", "size", "test_id", "rank", *KEY, "value", "mean", "z")
+def triage_report(buckets: DataFrame, signed: DataFrame, deviating: DataFrame, k: int | None = None) -> DataFrame:
+    """The deviations of all runs of each bucket, the strongest first; only the first ``k`` if given.
+
+    A bucket may hold most failing runs: ranks are running counts along a range-sorted cut."""
+    of_bucket = signed.select("test_id", _bucket().alias("bucket_id")).join(buckets.select("bucket_id", "size"), "bucket_id")
+    rows = carry.salted_join(deviating.where(F.col("z").isNotNull()), of_bucket, ["test_id"], KEY)
+    order = ["_strength", "test_id", *KEY]
+    cut = carry.range_chunks(rows.withColumn("_strength", -F.round(F.abs("z"), 6)).withColumn("_one", F.lit(1)), ["bucket_id", *order], "report")
+    ranked = carry.with_running(cut, ["bucket_id"], order, "_one", "rank")
+    return (ranked.where(F.col("rank") <= k) if k is not None else ranked).select(
+        "bucket_id", "size", "test_id", "rank", *KEY, "value", "mean", "z")
 
 
 def write_report(report: DataFrame, path: str, fmt="parquet") -> None:

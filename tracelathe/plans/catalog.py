@@ -293,9 +293,10 @@ def tfidf_terms(spark, sf):
     return text.term_scores(text.described(views.frame(spark, sf)))
 
 
-@query("test_id:s descr:s term:s score:f6 address:s rank:i")
+@query("test_id:s descr:s term:s score:f6 address:s")
 def important_registers(spark, sf):
-    return text.top_registers(views.frame(spark, sf))
+    """All registers that hold an important term; the first 50 count only where evidence is merged."""
+    return text.top_registers(views.frame(spark, sf), None)
 
 
 @query("doc_id:i term:s weight:f6")
@@ -420,6 +421,13 @@ def run_features(spark, sf):
     return _features(spark, sf)
 
 
+@query("test_id:s status:s family:s entity:s feature:s value:f3")
+def run_features_all(spark, sf):
+    """The same with the seventh family, whose projection SQL can't express."""
+    t = views.tables(spark, sf)
+    return assemble(t["runs"], extract_features(t, burst_gap_ns=views.BURST_GAP_NS, context_ns=views.CONTEXT_NS))
+
+
 def _triage(spark, sf):
     features = materialize(_features(spark, sf), "run-features")
     baseline = materialize(triage.learn_baseline(features), "baseline")

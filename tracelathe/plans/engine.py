@@ -33,11 +33,13 @@ def parse_tables(lines: DataFrame, options: Options = Options()) -> dict[str, Da
     return {"access": cut.withColumnRenamed(carry.CHUNK, "tchunk"), "fsm": fsm, "err": err}
 
 
-def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
+def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options(),
+            unreadable: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every result table for runs whose lines are given.
 
     Passing and failing runs go through one job with their status as a column.  Runs of unknown
-    status are not parsed.
+    status are not parsed.  Runs in ``unreadable`` (test_id) have no tokens and take no part in the
+    features; a run without lines that isn't among them has an empty trace and counts as such.
     """
     chosen = runs.where(F.col("status").isin("PASS", "FAIL"))
     tables = parse_tables(carry.keep_runs(lines, chosen), options)
@@ -51,8 +53,8 @@ def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options()) ->
         importance = evidence.corpus_importance(found["register_importance"])
         ai_top = found["ai_sequences"]
         out["access"] = evidence.tag_importance(access, found["register_importance"])
-    # Runs whose trace could not be read have no tokens and take no part.
-    parsed = materialize(lines.select("test_id").distinct().join(chosen, "test_id"), "parsed-runs")
+    read = chosen if unreadable is None else chosen.join(unreadable.select("test_id"), "test_id", "left_anti")
+    parsed = materialize(read, "parsed-runs")
     features = extract_features({**tables, "runs": parsed}, options.families, importance=importance,
                                 ai_sequences=ai_top, burst_gap_ns=options.burst_gap_ns,
                                 context_ns=options.context_ns)
@@ -60,7 +62,7 @@ def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options()) ->
     out["run_features"] = materialize(assemble(parsed, features), "run-features")
     baseline = materialize(triage.learn_baseline(out["run_features"]), "baseline")
     deviating = materialize(triage.deviations(out["run_features"], baseline), "deviations")
-    signed = triage.signatures(parsed, err, deviating)
+    signed = materialize(triage.signatures(chosen, err, deviating, lines.select("test_id").distinct()), "signatures")
     buckets = triage.failure_buckets(signed)
     edges = machines.transitions(fsm)
     windows = sequences.sequence_counts(sequences.sequence_windows(access))
@@ -80,8 +82,9 @@ def run(spark: SparkSession, root: str, out_dir: str | None = None,
     if not regression.has_failures(runs):
         return None
     chosen = runs.where(F.col("status").isin("PASS", "FAIL"))
-    lines = regression.read_traces(spark, root, chosen, whole_text=options.whole_text)
-    results = {"runs": runs, **analyse(runs, lines, options)}
+    bad = materialize(regression.unreadable(spark, root), "unreadable")
+    lines = regression.read_traces(spark, root, chosen, whole_text=options.whole_text, bad=bad)
+    results = {"runs": runs, **analyse(runs, lines, options, bad)}
     if out_dir:
         triage.write_report(results["triage_report"], f"{out_dir}/triage_report")
         triage.write_report(results["failure_buckets"], f"{out_dir}/failure_buckets", "json")

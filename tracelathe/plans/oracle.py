@@ -93,8 +93,12 @@ CYCLES = f"""WITH RECURSIVE {EDGES}, path AS (
  WHERE p.cur > p.start AND len(p.states) < 5 AND e.to_state >= p.start AND e.to_state <> p.cur
   AND NOT list_contains(p.states[2:], e.to_state))
 SELECT test_id, fsm_name, len(states) AS length, array_to_string(states, '->') AS cycle FROM path WHERE cur = start"""
-FSM_SUMMARY = f"""WITH {EDGES} SELECT t.*, n_states, coalesce(n_self_loops, 0) AS n_self_loops,
- coalesce(n_two_cycles, 0) AS n_two_cycles, coalesce(n_cycles, 0) AS n_cycles, coalesce(n_cycles, 0) > 0 AS has_cycles FROM (
+FSM_SUMMARY = f"""WITH RECURSIVE {EDGES}, reach(test_id, fsm_name, a, b) AS (
+ SELECT test_id, fsm_name, from_state, to_state FROM edges UNION
+ SELECT r.test_id, r.fsm_name, r.a, e.to_state FROM reach r JOIN edges e ON e.test_id = r.test_id AND e.fsm_name = r.fsm_name AND e.from_state = r.b)
+SELECT t.*, n_states, coalesce(n_self_loops, 0) AS n_self_loops,
+ coalesce(n_two_cycles, 0) AS n_two_cycles, coalesce(n_cycles, 0) AS n_cycles, 
+ (test_id, fsm_name) IN (SELECT (test_id, fsm_name) FROM reach WHERE a = b) AS has_cycles FROM (
  SELECT test_id, fsm_name, sum(n) AS total, count(*) AS n_transitions, min_by(from_state, first_at) AS start_state,
   max_by(to_state, last_at) AS end_state, greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0.0) AS entropy
  FROM edges GROUP BY test_id, fsm_name) t
@@ -340,7 +344,7 @@ def bodies() -> dict[str, str]:
                        " SELECT * FROM (SELECT test_id, term, count(*) AS n, row_number() OVER (PARTITION BY test_id"
                        " ORDER BY count(*) DESC, term) AS rank FROM g GROUP BY test_id, term) WHERE rank <= 10",
         "tfidf_terms": f"WITH {_term_ctes()} SELECT * FROM terms",
-        "important_registers": f"WITH {_term_ctes()} SELECT * FROM tops",
+        "important_registers": f"WITH {_term_ctes()} SELECT * FROM hits",
         "doc_tfidf": f"WITH toks AS (SELECT 0 AS c, doc_id, 1 AS mult, {_words('text')} AS t FROM documents),"
                      f" grams AS (SELECT c, doc_id, mult, unnest({_ngrams('t')}) AS term FROM toks),"
                      " tf AS (SELECT c, doc_id, mult, term, count(*) AS tf FROM grams GROUP BY ALL),"
@@ -366,8 +370,8 @@ def bodies() -> dict[str, str]:
         "unseen_registers": _unseen(ACC, "SELECT * FROM acc", "descr"),
         "failure_buckets": f"WITH {BUCKETS} SELECT * FROM bck",
         "triage_report": f"WITH {BUCKETS} SELECT * FROM (SELECT bucket_id, size, dev.test_id, family, entity, feature, value, z,"
-                         " row_number() OVER (PARTITION BY bucket_id ORDER BY round(abs(z), 6) DESC, family, entity, feature) AS rank"
-                         " FROM bck JOIN dev ON dev.test_id = representative WHERE z IS NOT NULL) WHERE rank <= 10",
+                         " row_number() OVER (PARTITION BY bucket_id ORDER BY round(abs(z), 6) DESC, dev.test_id, family, entity, feature) AS rank"
+                         " FROM bck JOIN sig USING (message, register) JOIN dev ON dev.test_id = sig.test_id WHERE z IS NOT NULL)",
         "erratic_registers": f"""WITH {_triage(_melted('register_values', 'descr', VALUES, VALUE_FEATURES),
                                                "feature IN ('std', 'diff_std', 'mean_diff', 'change_frequency')")}
  SELECT * FROM (SELECT entity AS descr, feature, value AS failing_value, mean AS baseline_mean, z, test_id, row_number() OVER

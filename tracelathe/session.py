@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,26 @@ def build_session(app="tracelathe", master=None, shuffle_partitions=None, **conf
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         b = b.config(key, value)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session, once per application: functions that
+    run there name its modules, and a worker need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tracelathe_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tracelathe-code-"), "tracelathe.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tracelathe", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._tracelathe_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

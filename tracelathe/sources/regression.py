@@ -34,7 +34,7 @@ def _glob(root: str, name: str) -> str:
 
 
 def list_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_NAME) -> DataFrame:
-    """(test_id, path, has_trace, has_log) of the direct sub-directories; empty when there is no root.
+    """(test_id, path, has_trace, has_log, log_bytes) of the direct sub-directories; empty when there is no root.
 
     One task lists the directory names, the files are looked up by all of them.  Spark's own file
     sources skip empty files, which count here.
@@ -55,17 +55,18 @@ def list_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_
             system, _ = fs.FileSystem.from_uri(base)
             has = lambda name: [f.type == fs.FileType.File for f in system.get_file_info(
                 [f"{p}/{name}" for p in pdf["path"]])]
-            yield pdf.assign(has_trace=has(trace), has_log=has(run_log))
+            sizes = [f.size or 0 for f in system.get_file_info([f"{p}/{run_log}" for p in pdf["path"]])]
+            yield pdf.assign(has_trace=has(trace), has_log=has(run_log), log_bytes=sizes)
 
     dirs = spark.range(1, numPartitions=1).mapInPandas(names, "test_id string, path string")
     return (dirs.repartition(spark.sparkContext.defaultParallelism, "test_id")
-            .mapInPandas(look, "test_id string, path string, has_trace boolean, has_log boolean"))
+            .mapInPandas(look, "test_id string, path string, has_trace boolean, has_log boolean, log_bytes long"))
 
 
 def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataFrame | None:
     """(uri, line_id, raw).  Bytes that are no UTF-8 are dropped; unreadable files are skipped.
 
-    Line ids rise within a file, which is one task's work (gzip does not split).
+    Line ids are local to the task that reads the file (gzip does not split) and rise within it.
     """
     try:
         text = spark.read.option("ignoreCorruptFiles", "true").text(_glob(root, name), wholetext=whole_text)
@@ -73,18 +74,21 @@ def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataF
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return text.select(F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().alias("line_id"),
+    return text.select(F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line_id"),
                        F.translate("value", "�", "").alias("raw"))
 
 
 def run_statuses(spark: SparkSession, root: str, listed: DataFrame, run_log=RUN_LOG_NAME) -> DataFrame:
     """(test_id, status) of the listed runs that have a run log: FAIL when any line holds the mark
-    in any case.  An empty run log passes."""
-    present = listed.where("has_log").select("test_id")
+    in any case.  An empty run log passes; one that holds bytes but gives no line is unreadable: UNKNOWN."""
+    present = listed.where("has_log").select("test_id", "log_bytes")
     text = _lines(spark, root, run_log)
     if text is None:
-        return present.withColumn("status", F.lit(PASS))
-    return label_runs(present, text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "raw"))
+        return present.select("test_id", F.when(F.col("log_bytes") > 0, UNKNOWN).otherwise(PASS).alias("status"))
+    log = text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "raw")
+    seen = log.select("test_id").distinct().withColumn("_seen", F.lit(True))
+    return (label_runs(present.select("test_id"), log).join(present, "test_id").join(seen, "test_id", "left")
+            .select("test_id", F.when((F.col("log_bytes") > 0) & F.col("_seen").isNull(), UNKNOWN).otherwise(F.col("status")).alias("status")))
 
 
 def label_runs(listed: DataFrame, run_log: DataFrame) -> DataFrame:
@@ -166,18 +170,19 @@ def unreadable(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, root: str, runs: DataFrame | None = None, trace=TRACE_NAME,
-                whole_text=False, check=True) -> DataFrame:
+                whole_text=False, check=True, bad: DataFrame | None = None) -> DataFrame:
     """(test_id, line_id, raw) of the traces, written once so that line ids stay as they are.
 
     ``runs`` restricts the runs read; ``check`` drops files that do not decode to their end as a
-    whole; ``whole_text`` takes a file as one text, so that a record may span lines.
+    whole (``bad``, test_id, where they are known already); ``whole_text`` takes a file as one text, so that a record may span lines.
     """
     text = _lines(spark, root, trace, whole_text)
     if text is None:
         return spark.createDataFrame([], RAW_LINES)
     keyed = text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "uri", "line_id", "raw")
     if check:
-        bad = materialize(unreadable(spark, root, trace), "unreadable")
+        if bad is None:
+            bad = materialize(unreadable(spark, root, trace), "unreadable")
         keyed = carry.keep_runs(keyed, bad, "left_anti")
     if runs is not None:
         keyed = carry.keep_runs(keyed, runs)
