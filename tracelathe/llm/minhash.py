@@ -102,7 +102,10 @@ def signatures(text: Column, size: int) -> Column:
 
 
 def shingle_sets(text: Column, size: int) -> Column:
-    """STRUCT<set_key BINARY, shingles ARRAY<BIGINT>> of each text, sorted."""
+    """STRUCT<set_key BINARY, shingles ARRAY<BIGINT>> of each text, sorted.
+
+    Marked nondeterministic (it isn't), which keeps Spark from working it out a second time, for all
+    texts, to test its result for null before a join."""
     @F.arrow_udf("struct<set_key: binary, shingles: array<bigint>>")
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -111,7 +114,7 @@ def shingle_sets(text: Column, size: int) -> Column:
                 [pa.array([_set_key(h) for h in sets], pa.binary()),
                  longs([h.astype(np.int64) for h in sets]).cast(pa.list_(pa.int64()))], ["set_key", "shingles"])
 
-    return make(text)
+    return make.asNondeterministic()(text)
 
 
 def star_edges(bands: DataFrame) -> DataFrame:
