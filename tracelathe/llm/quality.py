@@ -136,7 +136,7 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return pd.DataFrame({"w": [w.tobytes()], "r": [r.tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     sample = small_batches(rows).select(F.col("__id").alias("id"), "label", places(F.col(text)).alias("places"))
-    got = sample.groupBy(F.lit(0)).applyInPandas(model, "w binary, r binary, bias double, slope double, offset double").head()
+    got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(model, "w binary, r binary, bias double, slope double, offset double").head()
     return None if got is None else (np.frombuffer(got["w"], "<f4"), np.frombuffer(got["r"], "<f4"), got["bias"], got["slope"], got["offset"])
 
 
