@@ -148,7 +148,7 @@ def repeated(df, **options):
                    len(r["spans"]), digest(r["kept_bytes"])) for r in out)
 
 
-@pytest.mark.parametrize("hot", [8000, 1])
+@pytest.mark.parametrize("hot", [6000, 1])
 def test_repeats(corners, hot):
     short = corners.filter("length(text) < 20000 OR text IS NULL")
     rows = [r for r in CORNERS if len(r[1] or "") < 20000]

@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def small_batches(df: DataFrame, limit: int = 1 << 24) -> DataFrame:
+def small_batches(df: DataFrame, limit: int = 1 << 23) -> DataFrame:
     """Arrow batches for Python hold at most ``limit`` bytes (or one row), however long the texts."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > limit:

@@ -132,7 +132,7 @@ def _windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return buckets(data, length)[start + inner], count
 
 
-def refine(contexts: DataFrame, length: int, slice_rows: int = 4096) -> DataFrame:
+def refine(contexts: DataFrame, length: int, slice_rows: int = 2048) -> DataFrame:
     """From distinct surroundings (bucket, digest, start, bytes) to repeated spans (digest, start, end).
     Rows of a bucket meet in one task; slices end between buckets."""
     rows = contexts.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "digest", "start", "bytes")
@@ -191,7 +191,7 @@ def refine_hot(contexts: DataFrame, length: int) -> DataFrame:
     return rows.join(twice, "id").select("digest", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", hot: int = 8_000) -> DataFrame:
+def repeated_spans(df: DataFrame, length: int = 400, text: str = "text", hot: int = 6_000) -> DataFrame:
     """digest of the text, start, end of bytes to remove; spans of a text may touch and overlap."""
     texts = small_batches(df).select(F.col(text).alias("text")).filter(F.octet_length("text") >= length)
     found = materialize(anchor_rows(texts, length), "anchors")
@@ -242,7 +242,7 @@ def with_digest(df: DataFrame, text: str) -> DataFrame:
     return small_batches(df).withColumn("__digest", digest(F.col(text)))
 
 
-def without_repeats(df: DataFrame, length: int = 400, text: str = "text", hot: int = 8_000) -> DataFrame:
+def without_repeats(df: DataFrame, length: int = 400, text: str = "text", hot: int = 6_000) -> DataFrame:
     """All rows of ``df`` with spans (ARRAY of start and end, in bytes, merged and sorted) and kept_bytes (BINARY).
 
     Every byte is removed that a ``length``-byte string covers which also starts anywhere else, in
