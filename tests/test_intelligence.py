@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelathe.operators import embed, evidence, forest, parse, registers, text, triage
 from tracelathe.operators.cluster import density_clusters
+from tracelathe.schema import PIECE
 
 
 def test_term_scores_match_formula(access_of, lines_of):
@@ -124,7 +125,7 @@ def test_path_pieces_equal_joined_text(access_of):
         got = {}
         for r in embed.path_pieces(access_of(rows), chunk).orderBy("test_id", "line_id", "pos", "k").collect():
             got.setdefault(r.test_id, []).append(r.piece)
-        assert got == {f"t{i}": re.findall(r"[^\[\]\.]+|\[\d+\]", " ".join(doc).lower()) for i, doc in enumerate(DOCS)}
+        assert got == {f"t{i}": re.findall(PIECE, " ".join(doc).lower()) for i, doc in enumerate(DOCS)}
 
 
 def test_weights_are_unit_length_and_embedding_shapes(access_of):

@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracelathe.operators import carry
 from tracelathe.operators.text import corpus_weights, stop_words
-from tracelathe.schema import CORPUS_VOCABULARY, PCA_DIMS
+from tracelathe.schema import CORPUS_VOCABULARY, PCA_DIMS, PIECE
 from tracelathe.session import materialize
 
-# Fixed value: pieces of a register path are index groups or text between dots and brackets.
-PIECE = r"(?U)\[\d+\]|[^\[\].]+"
-
 
 def path_pieces(access: DataFrame, chunk_lines=None) -> DataFrame:
     """Pieces of each run's descriptions as if these were joined by spaces in log order.
@@ -48,7 +45,7 @@ def path_pieces(access: DataFrame, chunk_lines=None) -> DataFrame:
         F.when(F.col("prev").isNotNull() | F.col("_before").isNotNull(), " ").otherwise(""), "head")
     closing = F.when(F.col("gap") == F.col("_last"), F.concat(
         "tail", F.coalesce(F.concat(F.lit(" "), "_after"), F.lit("")))).otherwise("")
-    pieces = F.filter(F.concat(F.array(lead_in), F.regexp_extract_all("inner", F.lit(PIECE), F.lit(0)),
+    pieces = F.filter(F.concat(F.array(lead_in), F.regexp_extract_all("inner", F.lit("(?U)" + PIECE), F.lit(0)),
                                F.array(closing)), lambda p: p != "")
     out = held.select("test_id", "line_id", "pos", carry.CHUNK, F.posexplode(pieces).alias("k", "piece"))
     # Runs without any separator are one piece.

@@ -12,7 +12,8 @@ from tracelathe.operators.registers import (ACCESS_DIMS, VALUE_DIMS, access_vect
                                             value_vectors)
 from tracelathe.operators.sequences import ai_sequences
 from tracelathe.operators.text import top_registers
-from tracelathe.schema import ARRAY_IMPORTANCE, CLUSTER_IMPORTANCE, CLUSTER_MEMBERS
+from tracelathe.schema import (ARRAY_IMPORTANCE, ARRAY_REASON, CLUSTER_IMPORTANCE, CLUSTER_MEMBERS, CLUSTER_REASON,
+                               SEQUENCE_REASON, TERM_REASON)
 from tracelathe.session import materialize
 
 # Dimensions of the access vector the neighbour grid uses: reads, mean value, read gap.
@@ -36,7 +37,7 @@ def register_arrays(frame: DataFrame) -> DataFrame:
     return (named.groupBy("test_id", "array_name")
             .agg(F.min_by("descr", F.struct("part", "line_id", "pos")).alias("example"))
             .withColumn("importance", F.lit(ARRAY_IMPORTANCE))
-            .withColumn("reason", F.lit("Register array detected")))
+            .withColumn("reason", F.lit(ARRAY_REASON)))
 
 
 def register_importance(top: DataFrame, clusters: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -44,21 +45,19 @@ def register_importance(top: DataFrame, clusters: DataFrame, sequences: DataFram
     by_term = top.select(
         "test_id", "descr", F.lit(1).alias("src"), F.col("rank").cast("long").alias("a"), F.lit(0).alias("b"),
         F.col("score").alias("importance"), F.lit("terms").alias("source"),
-        F.concat(F.lit("High TF-IDF score ("), F.format_string("%.4f", "score"),
-                 F.lit(") - contains term '"), "term", F.lit("'")).alias("reason"))
+        F.format_string(TERM_REASON, "score", "term").alias("reason"))
     members = carry.at_most(clusters, ["test_id", "cluster_id"], [F.asc("first_at")], CLUSTER_MEMBERS, "member_no")
     by_cluster = members.select(
         "test_id", "descr", F.lit(2).alias("src"), F.col("cluster_id").cast("long").alias("a"),
         F.col("member_no").alias("b"), F.lit(CLUSTER_IMPORTANCE).alias("importance"),
         F.lit("cluster").alias("source"),
-        F.concat(F.lit("Part of access pattern cluster "), F.col("cluster_id").cast("string")).alias("reason"))
+        F.format_string(CLUSTER_REASON, "cluster_id").alias("reason"))
     by_sequence = sequences.select(
         "test_id", "n", F.col("rank").cast("long").alias("a"),
         F.posexplode(F.split("sequence", "->")).alias("b", "descr")).select(
         "test_id", "descr", F.lit(3).alias("src"), "a", "b", (F.col("n") / 10).alias("importance"),
         F.lit("sequence").alias("source"),
-        F.concat(F.lit("Part of common access sequence (occurs "), F.col("n").cast("string"),
-                 F.lit(" times)")).alias("reason"))
+        F.format_string(SEQUENCE_REASON, "n").alias("reason"))
     merged = by_term.unionByName(by_cluster).unionByName(by_sequence)
     best = F.min_by(F.struct("importance", "source", "reason", "src", "a", "b"), F.struct("src", "a", "b"))
     return merged.groupBy("test_id", "descr").agg(best.alias("_e")).select(

@@ -47,9 +47,8 @@ def transition_matrix(edges: DataFrame, dense=False) -> DataFrame:
         return sparse
     states = (sparse.select(*FSM, F.explode(F.array("from_state", "to_state")).alias("state"))
               .distinct())
-    columns = states.groupBy(*FSM).agg(F.collect_set("state").alias("_states"))
-    cells = (states.join(columns, FSM)
-             .select(*FSM, F.col("state").alias("from_state"), F.explode("_states").alias("to_state")))
+    cells = (states.withColumnRenamed("state", "from_state")
+             .join(states.withColumnRenamed("state", "to_state"), FSM))
     return (cells.join(sparse, [*FSM, "from_state", "to_state"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0))))
 

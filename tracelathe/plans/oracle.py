@@ -10,6 +10,7 @@ import pyspark
 
 from tracelathe.plans.catalog import QUERIES, QUERY_EPS
 from tracelathe.plans.views import BURST_GAP_NS, CONTEXT_NS
+from tracelathe.schema import PIECE
 
 _TYPES = {"s": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN"}
 
@@ -240,7 +241,7 @@ SELECT * FROM ev1 QUALIFY row_number() OVER (PARTITION BY test_id, descr ORDER B
 
 
 PIECES = f"""{ACC}, docs AS (SELECT test_id, lower(string_agg(descr, ' ' ORDER BY line_id)) AS doc FROM acc GROUP BY 1),
- pieces AS (SELECT test_id, regexp_extract_all(doc, '\\[[0-9]+\\]|[^\\[\\].]+') AS p FROM docs)"""
+ pieces AS (SELECT test_id, regexp_extract_all(doc, '{PIECE}') AS p FROM docs)"""
 
 
 def _melted(family: str, entity: str, body: str, features: list[str]) -> str:

@@ -32,6 +32,13 @@ READ, WRITE, TRANSITION = "MEM_R", "MEM_W", "FSM_TRANSITION"
 PASS, FAIL, UNKNOWN = "PASS", "FAIL", "UNKNOWN"
 TRACE_NAME, RUN_LOG_NAME, FAIL_MARK = "ptracker.log.gz", "jestr.log", "uvm_error"
 
+# The pieces of a register path, and the reasons evidence is listed with.
+PIECE = r"[^\[\]\.]+|\[\d+\]"
+TERM_REASON = "High TF-IDF score (%.4f) - contains term '%s'"
+CLUSTER_REASON = "Part of access pattern cluster %d"
+SEQUENCE_REASON = "Part of common access sequence (occurs %d times)"
+ARRAY_REASON = "Register array detected"
+
 # One log chunk holds this many line ids; ordered work never puts more in one task's group.
 CHUNK_LINES = 1 << 20
 
