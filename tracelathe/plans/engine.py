@@ -22,6 +22,7 @@ class Options:
     whole_text: bool = False
     burst_gap_ns: int = BURST_GAP_NS
     context_ns: int = CONTEXT_NS
+    check_traces: bool = True
 
 
 def parse_tables(lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
@@ -82,8 +83,8 @@ def run(spark: SparkSession, root: str, out_dir: str | None = None,
     if not regression.has_failures(runs):
         return None
     chosen = runs.where(F.col("status").isin("PASS", "FAIL"))
-    bad = materialize(regression.unreadable(spark, root), "unreadable")
-    lines = regression.read_traces(spark, root, chosen, whole_text=options.whole_text, bad=bad)
+    bad = materialize(regression.unreadable(spark, root), "unreadable") if options.check_traces else None
+    lines = regression.read_traces(spark, root, chosen, whole_text=options.whole_text, check=options.check_traces, bad=bad)
     results = {"runs": runs, **analyse(runs, lines, options, bad)}
     if out_dir:
         triage.write_report(results["triage_report"], f"{out_dir}/triage_report")

@@ -36,31 +36,29 @@ def _glob(root: str, name: str) -> str:
 def list_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_NAME) -> DataFrame:
     """(test_id, path, has_trace, has_log, log_bytes) of the direct sub-directories; empty when there is no root.
 
-    One task lists the directory names, the files are looked up by all of them.  Spark's own file
-    sources skip empty files, which count here.
+    Names are listed through the file systems and credentials that Spark itself reads with, by three
+    listings (directories, traces, run logs).  Spark's own file sources skip empty files, which count here.
     """
     base = _absolute(root).rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(base)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    schema = "test_id string, path string, has_trace boolean, has_log boolean, log_bytes long"
+    if not system.exists(path):
+        return spark.createDataFrame([], schema)
 
-    def names(batches):
-        from pyarrow import fs
-        for _ in batches:
-            system, path = fs.FileSystem.from_uri(base)
-            found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-            dirs = [f for f in found if f.type == fs.FileType.Directory]
-            yield pd.DataFrame({"test_id": [f.base_name for f in dirs], "path": [f.path for f in dirs]}, dtype="object")
+    def named(status) -> str:
+        uri = status.getPath().toUri()
+        return uri.getPath() if uri.getScheme() in (None, "file") else status.getPath().toString()
 
-    def look(batches):
-        from pyarrow import fs
-        for pdf in batches:
-            system, _ = fs.FileSystem.from_uri(base)
-            has = lambda name: [f.type == fs.FileType.File for f in system.get_file_info(
-                [f"{p}/{name}" for p in pdf["path"]])]
-            sizes = [f.size or 0 for f in system.get_file_info([f"{p}/{run_log}" for p in pdf["path"]])]
-            yield pdf.assign(has_trace=has(trace), has_log=has(run_log), log_bytes=sizes)
+    def files(name: str) -> dict[str, int]:
+        found = system.globStatus(hadoop.Path(_glob(base, name))) or []
+        return {named(f).rsplit("/", 1)[0]: f.getLen() for f in found if f.isFile()}
 
-    dirs = spark.range(1, numPartitions=1).mapInPandas(names, "test_id string, path string")
-    return (dirs.repartition(spark.sparkContext.defaultParallelism, "test_id")
-            .mapInPandas(look, "test_id string, path string, has_trace boolean, has_log boolean, log_bytes long"))
+    dirs = [named(s) for s in system.listStatus(path) if s.isDirectory()]
+    traces, logs = files(trace), files(run_log)
+    rows = [(d.rsplit("/", 1)[1], d, d in traces, d in logs, logs.get(d, 0)) for d in dirs]
+    return spark.createDataFrame(rows, schema)
 
 
 def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataFrame | None:
@@ -132,9 +130,8 @@ def has_failures(runs: DataFrame) -> bool:
 
 def unreadable(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
     """(test_id) of runs whose trace does not decode to its end.  Each file is streamed in small
-    blocks by one task; nothing of it is kept."""
-    base = _absolute(root).rstrip("/")
-
+    blocks by one task; nothing of it is kept.  Streaming takes a file system that Arrow knows;
+    elsewhere read traces with ``check=False``."""
     def decodes(system, path) -> bool:
         with system.open_input_stream(path, compression=None) as f:
             decoder = zlib.decompressobj(31)
@@ -154,9 +151,9 @@ def unreadable(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
     def probe(batches):
         from pyarrow import fs
         for pdf in batches:
-            system, _ = fs.FileSystem.from_uri(base)
             bad = []
             for test_id, path in zip(pdf["test_id"], pdf["path"]):
+                system, path = (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
                 try:
                     ok = decodes(system, f"{path}/{trace}")
                 except (OSError, zlib.error):
