@@ -214,7 +214,7 @@ def test_edited_likeness(corners, empty):
         assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == digest((t[:len(t) - n] + after[:n]).encode()), d
         assert got[d]["near_next"] == pytest.approx(1 - bin((got[d]["fingerprint"] ^ got[rows[(k + 1) % len(rows)][0]]["fingerprint"]) & (2**64 - 1)).count("1") / 64)
         assert 0 <= got[d]["near_edited"] <= 1
-    assert got[7]["fingerprint"] == got[8]["fingerprint"] and got[1]["fingerprint"] == got[2]["fingerprint"]
+    assert got[10]["fingerprint"] == got[11]["fingerprint"] and got[1]["fingerprint"] == got[2]["fingerprint"]
     assert simhash.edited_likeness(empty).count() == 0
     assert simhash.edited_likeness(short.limit(1)).count() == 1
 
@@ -231,6 +231,16 @@ def test_within_radius(spark):
         assert got == {x for x in far if x[2] <= radius}
 
 
+def test_fingerprint_queries(spark, tiny_rows):
+    got = queries.op3_simhash(spark, TINY).collect()
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    assert len(got) == len(prints) == len(tiny_rows)
+    for r in got:
+        near = sum((prints[r["doc_id"]] ^ x).bit_count() <= 3 for x in prints.values())
+        assert r["n_within"] == (near if r["doc_id"] % 20 == 0 else None)
+    assert sum(r["near_edited"] > r["near_next"] for r in got) > 0.9 * len(got)
+
+
 # --- tokenizers ------------------------------------------------------------------------------
 
 def test_pieces(spark, corners, tiny_rows):

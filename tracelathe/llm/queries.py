@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelathe.llm import exact_dedup, langid, minhash, mixing, pieces, quality, repeats, simhash, token_counts, token_store
-from tracelathe.llm.common import documents, held_out, shared_dir
+from tracelathe.llm.common import documents, held_out, materialize, shared_dir
 from tracelathe.llm.sql import ORACLE_SQL  # noqa: F401
 
 
@@ -24,7 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.edited_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    """Besides the contract's columns n_within: for ids divisible by 20, how many documents lie within 3 bits."""
+    out = materialize(simhash.edited_likeness(documents(spark, sf_dir, "doc_id", "text")), "fingerprints")
+    asked = F.col("doc_id") % 20 == 0
+    counts = simhash.count_within(out, out.filter(asked))
+    out = out.join(counts, "fingerprint", "left").withColumn("n_within", F.when(asked, F.col("n_within")))
     return out.withColumns({c: simhash.as_hex(c) for c in ("fingerprint", "edited_fingerprint")})
 
 

@@ -1,9 +1,9 @@
 """Document fingerprints: SimHash of weighted terms, and search within a Hamming radius.
 
-A term is a word with the one before it.  Every occurrence of a term votes on the 64 bits of its
-hash, so a term weighs as often as it occurs; a bit is set where more than half of the votes are.
-All in Spark's own functions: votes for bits i and i + 32 are summed in the two halves of one
-BIGINT, so 32 sums, combined before the shuffle, hold the whole fingerprint of a text of any length.
+A term is a word (between blanks) with the one before it.  Every occurrence of a term votes on the 64
+bits of its hash, so a term weighs as often as it occurs; a bit is set where more than half of the
+votes are.  All in Spark's own functions: the votes of a chunk of terms are summed for four bits at
+once, in the quarters of a BIGINT, and only the chunks' sums are taken apart.
 
 Search cuts the 64 bits into blocks.  Fingerprints within radius r differ in at most r blocks, so
 with b blocks they agree on some b - r of them: one table per choice of b - r blocks, keyed by
@@ -18,28 +18,24 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelathe.llm.common import SPACES
-
-_LANES = (1 << 32) | 1
+#: Four counters of 16 bits in one BIGINT; a chunk of this many terms fills none of them.
+_LANES, _CHUNK = (1 << 48) | (1 << 32) | (1 << 16) | 1, 1 << 14
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and fingerprint (BIGINT), one row per distinct value of ``keys``, which must name the texts.
 
     Equal texts have equal fingerprints; null counts as empty; a text without words is one empty term."""
-    words = df.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), SPACES).alias("__words"))
-    # Two uses of __words keep the optimizer from inlining the split into the function.
-    pair = F.transform("__words", lambda w, i: F.xxhash64(F.when(i > 0, F.get("__words", i - 1)).otherwise(F.lit("")), w))
-    terms = words.select(*keys, F.explode(pair).alias("__term"))
-    votes = terms.groupBy(*keys).agg(F.count("*").alias("__n"), *[
-        F.sum(F.shiftrightunsigned("__term", i).bitwiseAND(F.lit(_LANES))).alias(f"__v{i}") for i in range(32)])
-
-    def bit(i: int) -> Column:
-        lane = F.col(f"__v{i % 32}")
-        count = F.shiftrightunsigned(lane, 32) if i >= 32 else lane.bitwiseAND(F.lit((1 << 32) - 1))
-        return F.shiftleft((2 * count > F.col("__n")).cast("long"), i)
-
-    return votes.select(*keys, reduce(Column.bitwiseOR, map(bit, range(64))).alias("fingerprint"))
+    words = df.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("__words"))
+    words = words.select(*keys, "__words", F.posexplode("__words").alias("__at", "__word"))
+    before = F.when(F.col("__at") > 0, F.get("__words", F.col("__at") - 1)).otherwise(F.lit(""))
+    terms = words.select(*keys, F.expr(f"__at DIV {_CHUNK}").alias("__chunk"), F.xxhash64(before, "__word").alias("__term"))
+    packed = terms.groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"), *[
+        F.sum(F.shiftrightunsigned("__term", i).bitwiseAND(F.lit(_LANES))).alias(f"__p{i}") for i in range(16)])
+    lane = lambda b: F.shiftrightunsigned(f"__p{b % 16}", b // 16 * 16).bitwiseAND(F.lit(0xFFFF))
+    votes = packed.groupBy(*keys).agg(F.sum("__n").alias("__n"), *[F.sum(lane(b)).alias(f"__v{b}") for b in range(64)])
+    bits = [F.shiftleft((2 * F.col(f"__v{b}") > F.col("__n")).cast("long"), b) for b in range(64)]
+    return votes.select(*keys, reduce(Column.bitwiseOR, bits).alias("fingerprint"))
 
 
 def as_hex(fingerprint: Column | str) -> Column:
@@ -74,7 +70,15 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks
     return near.filter((distance <= radius) & (F.col("table") == first)).select("query", "found", distance.alias("distance"))
 
 
-def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 1 << 24, most_buckets: int = 4096) -> DataFrame:
+def count_within(prints: DataFrame, queries: DataFrame, radius: int = 3, column: str = "fingerprint") -> DataFrame:
+    """How many rows of ``prints`` lie within ``radius`` bits of each distinct fingerprint of ``queries``:
+    (fingerprint, n_within).  Equal fingerprints are counted before they are searched."""
+    stored = prints.groupBy(column).agg(F.count("*").alias("__n"))
+    found = within_radius(queries, stored, radius, column=column).join(stored, F.col("found") == F.col(column)).drop(column)
+    return found.groupBy("query").agg(F.sum("__n").alias("n_within")).withColumnRenamed("query", column)
+
+
+def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 1 << 23, most_buckets: int = 4096) -> DataFrame:
     """Rows in descending order of ``doc_id`` with the next row's text: bucket, rn (place in the bucket), guest,
     doc_id, text, next_text.  The row after the last is the first.
 
