@@ -253,6 +253,9 @@ def test_pieces(spark, corners, tiny_rows):
         assert tuple(got[d])[1:] == (len(ids), digest(",".join(map(str, ids)).encode()), digest(model.decode(ids).encode()))
     for r in pieces.with_pieces(corners, path).collect():
         assert r["ids"] == model.encode(r["text"] or "") and r["decoded"] == model.decode(r["ids"])
+    apart = corners.select("text", pieces.encode(corners["text"], path).alias("ids"))
+    for r in apart.select("text", "ids", pieces.decode(apart["ids"], path).alias("decoded")).collect():
+        assert r["ids"] == model.encode(r["text"] or "") and r["decoded"] == model.decode(r["ids"])
 
 
 def test_pieces_of_odd_strings():

@@ -98,7 +98,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class UnitTable:
     """What each distinct unit becomes under ``solve``; forgets all beyond ``limit`` between slices."""
 
-    def __init__(self, solve: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 600_000, slots: int = 1 << 20):
+    def __init__(self, solve: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 400_000, slots: int = 1 << 20):
         self.solve, self.limit, self.slots = solve, limit, slots
         self.forget()
 

@@ -35,7 +35,7 @@ codecs.register_error("byte-by-byte", lambda e: ("�", e.start + 1))
 class PieceEncoder:
     """Exact merge encoding over the pieces of a model file."""
 
-    def __init__(self, path: str, pairs_kept: int = 400_000):
+    def __init__(self, path: str, pairs_kept: int = 250_000):
         import ahocorasick
         import sentencepiece
 
@@ -159,6 +159,12 @@ def encoder(path: str) -> PieceEncoder:
     return _MODELS[path]
 
 
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    sizes = [np.zeros(1, np.int64), *(np.diff(borders) for _, borders in parts)]
+    flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
     """Ids of each text (ARRAY<INT>), as the library gives them without begin, end or sampling.
     A null text counts as empty: no ids."""
@@ -166,14 +172,27 @@ def encode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder(path)
         for batch in batches:
-            parts = [model.encode(texts_of(part)) for part in by_bytes(batch, slice_bytes)]
-            sizes = [np.zeros(1, np.int64), *(np.diff(borders) for _, borders in parts)]
-            flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)])
-            yield pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+            yield _lists([model.encode(texts_of(part)) for part in by_bytes(batch, slice_bytes)])
 
     return ids(text)
 
 
+def encode_and_decode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
+    """STRUCT<ids ARRAY<INT>, decoded STRING>: ids, and the text they decode to, from one worker that
+    holds the vocabulary once."""
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = encoder(path)
+        for batch in batches:
+            parts, decoded = [], []
+            for part in by_bytes(batch, slice_bytes):
+                parts.append(model.encode(texts_of(part)))
+                decoded += model.decode(*parts[-1])
+            yield pa.StructArray.from_arrays([_lists(parts), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of each list of ids; null for null."""
     @F.arrow_udf("string")
@@ -192,5 +211,5 @@ def with_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     Null and empty texts: no ids and an empty string.  Every row is kept; an empty table gives an
     empty table; input columns named ids or decoded give way.
     """
-    return (plain(small_batches(df), "ids", "decoded").withColumn("ids", encode(F.col(text), path))
-            .withColumn("decoded", decode(F.col("ids"), path)))
+    df = plain(small_batches(df), "ids", "decoded")
+    return df.withColumn("__both", encode_and_decode(F.col(text), path)).select(*df.columns, "__both.ids", "__both.decoded")
