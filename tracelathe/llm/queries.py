@@ -28,7 +28,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = materialize(simhash.edited_likeness(documents(spark, sf_dir, "doc_id", "text")), "fingerprints")
     asked = F.col("doc_id") % 20 == 0
     counts = simhash.count_within(out, out.filter(asked))
-    out = out.join(counts, "fingerprint", "left").withColumn("n_within", F.when(asked, F.col("n_within")))
+    out = out.join(counts.hint("merge"), "fingerprint", "left").withColumn("n_within", F.when(asked, F.col("n_within")))
     return out.withColumns({c: simhash.as_hex(c) for c in ("fingerprint", "edited_fingerprint")})
 
 

@@ -63,7 +63,7 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks
         keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col(name).bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(masks)])
         return df.filter(F.col(column).isNotNull()).select(F.col(column).alias(name)).distinct().select(name, F.inline(keys))
 
-    near = tables(queries, "query").join(tables(stored, "found"), ["table", "bits"])
+    near = tables(queries, "query").join(tables(stored, "found").hint("merge"), ["table", "bits"])
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
     first = reduce(F.least, [F.when(F.col("query").bitwiseAND(F.lit(m)) == F.col("found").bitwiseAND(F.lit(m)), t).otherwise(len(masks)) for t, m in enumerate(masks)])
     # Several tables may find a pair; the first one reports it.
@@ -74,7 +74,7 @@ def count_within(prints: DataFrame, queries: DataFrame, radius: int = 3, column:
     """How many rows of ``prints`` lie within ``radius`` bits of each distinct fingerprint of ``queries``:
     (fingerprint, n_within).  Equal fingerprints are counted before they are searched."""
     stored = prints.groupBy(column).agg(F.count("*").alias("__n"))
-    found = within_radius(queries, stored, radius, column=column).join(stored, F.col("found") == F.col(column)).drop(column)
+    found = within_radius(queries, stored, radius, column=column).join(stored.hint("merge"), F.col("found") == F.col(column)).drop(column)
     return found.groupBy("query").agg(F.sum("__n").alias("n_within")).withColumnRenamed("query", column)
 
 
