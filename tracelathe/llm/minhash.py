@@ -14,7 +14,7 @@
 
 A star takes (members the hub didn't confirm) x (members) comparisons; a group of copies that all
 match their hub takes none.  Bands of 5 of 125 bins miss a pair of similarity 0.85 about once in
-two million, and one of 0.8 once in 30 000.
+two million, and one of 0.8 once in 20 000.
 """
 
 from __future__ import annotations
@@ -263,8 +263,10 @@ def without_near_duplicates(df: DataFrame, size: int = 5, share: int = 80, doc_i
     repeated = groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("__n")).withColumnsRenamed({"doc_id": "__i", "text_key": "__k"})
     chosen = (chosen.join(repeated, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k")))
               .select("__id", "__key", "__n"))
+    chosen = materialize(chosen, "near-chosen")
     rows = (df.withColumn("__text_key", F.md5(F.coalesce(text, F.lit(""))))
             .join(chosen.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))))
-    rows = materialize(rows, "near-kept")
-    once = rows.filter("__n = 1").unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__key"]))
-    return plain(once, "__text_key", "__id", "__key", "__n")
+    if not chosen.filter("__n > 1").isEmpty():  # only then are texts stored a second time
+        rows = materialize(rows, "near-kept")
+        rows = rows.filter("__n = 1").unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__key"]))
+    return plain(rows, "__text_key", "__id", "__key", "__n")
