@@ -219,6 +219,25 @@ def test_edited_likeness(corners, empty):
     assert simhash.edited_likeness(short.limit(1)).count() == 1
 
 
+def test_fingerprints_part_words_at_all_white_space(spark):
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    edited = words[:150] + ["other"] + words[151:]
+    wrapped = "".join(w + ("\r\n" if k % 9 == 8 else " ") for k, w in enumerate(words))
+    texts = [" ".join(words), "\t".join(words), "\n".join(words), "\x0b".join(words), "\x0c\r".join(words), wrapped,
+             "\n".join(" " * 12 + w for w in words), "       ".join(words) + "  ", "\n".join(edited), "", " \t\n ", None, "one", " one\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = [r["fingerprint"] for r in simhash.fingerprints(df, ["k"], "text").orderBy("k").collect()]
+    votes = [0] * 64
+    terms = spark.createDataFrame(list(zip(["", *words], words)), "a string, b string").selectExpr("xxhash64(a, b) AS h")
+    for r in terms.collect():
+        for b in range(64):
+            votes[b] += (r["h"] >> b) & 1
+    assert {x & (2**64 - 1) for x in got[:8]} == {sum((2 * v > len(words)) << b for b, v in enumerate(votes))}
+    assert ((got[8] ^ got[0]) & (2**64 - 1)).bit_count() <= 10
+    assert got[9] == got[10] == got[11] != got[12] == got[13]
+
+
 def test_within_radius(spark):
     rnd = random.Random(9)
     some = [rnd.getrandbits(64) for _ in range(150)]

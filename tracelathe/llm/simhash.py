@@ -1,6 +1,6 @@
 """Document fingerprints: SimHash of weighted terms, and search within a Hamming radius.
 
-A term is a word (between blanks) with the one before it.  Every occurrence of a term votes on the 64
+A term is a word (between white space) with the one before it.  Every occurrence of a term votes on the 64
 bits of its hash, so a term weighs as often as it occurs; a bit is set where more than half of the
 votes are.  All in Spark's own functions: the votes of a chunk of terms are summed for four bits at
 once, in the quarters of a BIGINT, and only the chunks' sums are taken apart.
@@ -18,6 +18,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelathe.llm.common import SPACES
+
 #: Four counters of 16 bits in one BIGINT; a chunk of this many terms fills none of them.
 _LANES, _CHUNK = (1 << 48) | (1 << 32) | (1 << 16) | 1, 1 << 14
 
@@ -26,10 +28,11 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and fingerprint (BIGINT), one row per distinct value of ``keys``, which must name the texts.
 
     Equal texts have equal fingerprints; null counts as empty; a text without words is one empty term."""
-    words = df.select(*keys, F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("__words"))
-    words = words.select(*keys, "__words", F.posexplode("__words").alias("__at", "__word"))
+    # White space at either end would leave an empty word.
+    words = df.select(*keys, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACES), "").alias("__words"))
+    words = words.select(*keys, "__words", F.posexplode_outer("__words").alias("__at", "__word"))
     before = F.when(F.col("__at") > 0, F.get("__words", F.col("__at") - 1)).otherwise(F.lit(""))
-    terms = words.select(*keys, F.expr(f"__at DIV {_CHUNK}").alias("__chunk"), F.xxhash64(before, "__word").alias("__term"))
+    terms = words.select(*keys, F.expr(f"__at DIV {_CHUNK}").alias("__chunk"), F.xxhash64(before, F.coalesce("__word", F.lit(""))).alias("__term"))
     packed = terms.groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"), *[
         F.sum(F.shiftrightunsigned("__term", i).bitwiseAND(F.lit(_LANES))).alias(f"__p{i}") for i in range(16)])
     lane = lambda b: F.shiftrightunsigned(f"__p{b % 16}", b // 16 * 16).bitwiseAND(F.lit(0xFFFF))
