@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelathe.llm import exact_dedup, langid, minhash, mixing, pieces
-from tracelathe.llm.common import documents, held_out, materialize
+from tracelathe.llm.common import documents, held_out, materialize, with_written_order
 
 PIECES = "piece_bpe_32k.model"
 #: A document whose best language has a smaller posterior is rejected, as is one without letters.
@@ -36,16 +36,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources come near their target weights."""
+    """Repeats and drops documents so that the sources come near their target weights, in the order of the schedule."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row of the mix."""
-    out = pieces.with_pieces(docs, public_tokenizers.path(PIECES))
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"),
+    """doc_id, source, n_tokens, ids_sha256 and decoded_sha256 of every row of the mix, in its order."""
+    out = pieces.with_pieces(with_written_order(docs, "at"), public_tokenizers.path(PIECES))
+    out = out.select("at", "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    # Stored before it is sorted, which reads it twice.
+    return materialize(out, "encoded").orderBy("at").drop("at")
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("encode", encode)]
@@ -55,8 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``."""
+    """All stages over the whole of ``documents``, in the order of the mix."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return with_written_order(docs, "at").orderBy("at").drop("at")

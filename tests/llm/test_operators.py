@@ -202,6 +202,37 @@ def test_schedule_is_even(spark):
         [(0, pytest.approx(500, abs=5)), (1, pytest.approx(300, abs=5)), (2, pytest.approx(200, abs=5))]
 
 
+def test_interleaved(spark):
+    """Pieces follow the schedule: every stretch holds the sources in nearly their shares."""
+    rnd = random.Random(4)
+    rows = [(k, f"s{k % 3}", " ".join(f"w{i}" for i in range(rnd.randrange(1, 200)))) for k in range(600)]
+    rows += [(1000, "s0", "same old words")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = sorted(mixing.interleaved(df, block=16).collect(), key=lambda r: (r["slot"], r["at"]))
+    plan = mixing.mix(df, block=16).collect()
+    taken = {}
+    for r in got:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["length"]
+    assert taken == {d: n for d in {r["doc_id"] for r in plan} if (n := sum(r["taken"] for r in plan if r["doc_id"] == d))}
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+        assert r["at"] + r["length"] <= 16
+    target = {r["source"]: r["target"] for r in plan}
+    run, total, share = dict.fromkeys(target, 0), sum(target.values()), {}
+    for r in got:
+        run[r["source"]] += r["length"]
+        share[r["slot"]] = max(abs(run[s] - sum(run.values()) * target[s] / total) for s in target)
+    assert max(share.values()) <= 12 * 16
+    # Whole rows come in the order in which the slots take their first words.
+    out = [r["doc_id"] for r in mixing.mixed_documents(df, block=16).collect()]
+    begins = [r["doc_id"] for r in got if r["begin"] == 0]
+    at = 0
+    for d in out:
+        at = begins.index(d, at) + 1
+    assert len(begins) - 3 <= len(out) <= len(begins)
+
+
 # --- fingerprints ----------------------------------------------------------------------------
 
 def test_edited_likeness(corners, empty):

@@ -60,3 +60,17 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, TINY), "test")
     assert docs.count() == 0
+
+
+def test_rows_come_in_the_order_of_the_mix(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = materialize(documents(spark, TINY), "test")
+    mixed = stages["mixing"](spark, docs, TINY)
+    wanted = [r["doc_id"] for r in mixed.collect()]
+    assert wanted == [r["doc_id"] for r in mixing.mixed_documents(docs.repartition(3)).collect()]
+    starts = {}
+    for r in mixing.interleaved(docs).filter("begin = 0").collect():
+        starts.setdefault(r["doc_id"], []).append((r["slot"], r["at"]))
+    copies = [(sorted(starts[d])[k], d) for d, n in Counter(wanted).items() for k in range(n)]
+    assert wanted == [d for _, d in sorted(copies)]
+    assert wanted == [r["doc_id"] for r in stages["encode"](spark, materialize(mixed, "test"), TINY).collect()]

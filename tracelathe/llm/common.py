@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelathe.session import materialize, shared_dir
 
 __all__ = ["UnitCache", "by_bytes", "delete", "documents", "held_out", "longs", "materialize", "plain",
-           "shared_dir", "small_batches", "texts_of"]
+           "shared_dir", "with_written_order", "small_batches", "texts_of"]
 
 #: The separators of words, and the class of all other characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,6 +37,11 @@ def plain(df: DataFrame, *made: str) -> DataFrame:
     return df.drop(*made)
 
 
+def with_written_order(df: DataFrame, name: str) -> DataFrame:
+    """A table read from files, with a column ``name`` by which its rows sort as they were written."""
+    return df.withColumn(name, F.struct("_metadata.file_name", "_metadata.row_index"))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Null texts count as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -4,7 +4,8 @@ Slots are numbered; the golden-ratio point of a slot falls into the interval of
 width is its share.  A slot's rank among the slots of its source names a block of that source's
 shuffled text stream, cut into blocks of equally many words; after the last block the next pass
 begins.  So every stretch of the schedule holds every source in nearly its share, reruns agree,
-and no source is short by more than a few slots, which closing slots make up for.
+and no source is short by more than a few slots, which closing slots at the end make up for.
+``interleaved`` gives the mix in this order, ``mixed_documents`` whole rows in the order of their first words.
 
 Positions in streams and ranks of slots are running sums in two levels (sums of buckets, then
 inside buckets), so a source that holds a third of all rows is never sorted in one task.
@@ -21,6 +22,7 @@ from tracelathe.llm.common import WORD, materialize, plain
 #: The golden-ratio multiplier for points k / 2^31 (odd, so a period visits every point once).
 PERIOD, STEP = 1 << 31, 1327217885
 CELLS, CHUNK = 4096, 1 << 16
+_KEYS = ["doc_id", "source", "text_key", "size", "source_size", "target"]
 
 
 def words(text: str | Column) -> Column:
@@ -48,14 +50,14 @@ def targets(sources: DataFrame, weights: tuple[float, ...], repeat: float) -> Da
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """Slots (no, rank): for each source as many as its target needs, ranked by their place in the schedule."""
+    """Slots (slot, no, rank): for each source as many as its target needs, ranked by their place ``slot`` in the schedule."""
     spark = sources.sparkSession
     by_no = Window.orderBy("no")
     whole = sources.withColumn("hi", F.sum("target").over(by_no)).withColumn("lo", F.col("hi") - F.col("target"))
     total = whole.agg(F.coalesce(F.max("hi"), F.lit(0.0))).head()[0]
     slots = int(-(-total // block))
     if not slots:
-        return sources.filter("false").select("no", F.lit(0).cast("long").alias("rank"))
+        return sources.filter("false").select(F.lit(0).cast("long").alias("slot"), "no", F.lit(0).cast("long").alias("rank"))
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
     shares = (whole.filter("target > 0").select("no", (F.col("lo") / total).alias("lo"), (F.col("hi") / total).alias("hi"))
               .withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))))
@@ -67,24 +69,21 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
               .withColumn("before", F.sum("n").over(Window.partitionBy("no").orderBy("chunk")) - F.col("n")).drop("n"))
     inside = F.row_number().over(Window.partitionBy("no", "chunk").orderBy("id")) - 1
     ranked = (drawn.withColumn("inside", inside).join(before, ["no", "chunk"])
-              .select("no", (F.col("before") + F.col("inside")).cast("long").alias("rank")))
+              .select(F.col("id").alias("slot"), "no", (F.col("before") + F.col("inside")).cast("long").alias("rank")))
     ranked = materialize(ranked, "slots")
     got = ranked.groupBy("no").agg(F.count("*").alias("got"))
     need = sources.join(got, "no", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long")))
-    closing = (need.filter(F.col("got") < F.col("n_slots"))
-               .select("no", F.explode(F.sequence(F.col("got"), F.col("n_slots") - 1)).alias("rank")))
+    short = need.filter(F.col("got") < F.col("n_slots"))
+    first = slots + F.sum(F.col("n_slots") - F.col("got")).over(by_no) - F.col("n_slots")  # of rank 0, were it a closing slot
+    closing = (short.withColumn("first", first).withColumn("rank", F.explode(F.sequence(F.col("got"), F.col("n_slots") - 1)))
+               .select((F.col("first") + F.col("rank")).alias("slot"), "no", "rank"))
     return ranked.unionByName(closing)
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3, block: int = 64, doc_id: str = "doc_id",
-        source: str = "source", text: str = "text") -> DataFrame:
-    """Per row of ``df``: doc_id, source, text_key (md5), size, source_size, target, taken.
-
-    size counts words (null text: 0); ``weights`` go round the sources in code-point order, null
-    last; taken counts the words of the row that the mix takes, at most ``repeat`` (rounded up) times
-    its size.  Rows without words take 0.  Repeated rows are rows of their own.  An empty table
-    gives an empty table.
-    """
+def _deal(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3, block: int = 64, doc_id: str = "doc_id",
+          source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` by their places in their sources' streams, and their pieces by slots: a row per block
+    that a row of ``df`` touches and slot that takes the block, or with a null slot where none does."""
     rows = materialize(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                                  F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), words(text).alias("size")), "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeat)
@@ -109,26 +108,50 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3
     j = F.col("rank") % F.col("n_blocks")
     before = F.expr("rank DIV n_blocks") * F.col("source_size") + j * block
     length = F.least(F.lit(block), F.col("source_size") - j * block, F.col("aim") - before)
-    taken_blocks = (slots.select("no", j.alias("block"), length.cast("long").alias("length")).filter("length > 0")
-                    .groupBy("no", "block", "length").agg(F.count("*").alias("times")))
+    turns = slots.select("slot", "no", F.expr("rank DIV n_blocks").alias("pass"), j.alias("block"), length.cast("long").alias("__length")).filter("__length > 0")
 
-    keys = ["doc_id", "source", "text_key", "size", "source_size", "target"]
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"begin DIV {block}"), F.expr(f"(begin + size - 1) DIV {block}"))))
-    overlap = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), F.col("block") * block + F.col("length")) - F.greatest("begin", F.col("block") * block))
-    taken = (pieces.join(taken_blocks, ["no", "block"], "left")
-             .groupBy(*keys, "no", "begin").agg(F.coalesce(F.sum(overlap * F.col("times")), F.lit(0)).cast("long").alias("taken")))
-    return taken.select(*keys, "taken").unionByName(placed.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken")))
+    start, lead = F.greatest("begin", F.col("block") * block), F.col("block") * block
+    length = F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), lead + F.col("__length")) - start)
+    dealt = (pieces.join(turns, ["no", "block"], "left")
+             .select(*_KEYS, "no", F.col("begin").alias("place"), "slot", "pass", "block", (start - lead).alias("at"), (start - F.col("begin")).alias("begin"),
+                     F.when(F.col("slot").isNotNull(), length).otherwise(0).cast("long").alias("length")))
+    return placed, dealt
+
+
+def interleaved(df: DataFrame, **options) -> DataFrame:
+    """The mix: slot, at, doc_id, source, text_key (md5), block, begin, length.
+
+    In the order of slot and at (the place within the slot), each row is ``length`` words of a document from its
+    word ``begin`` on (from 0); they lie in ``block`` of the source's stream.  ``options`` are those of ``mix``."""
+    return _deal(df, **options)[1].filter("length > 0").select("slot", "at", "doc_id", "source", "text_key", "block", "begin", "length")
+
+
+def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3, block: int = 64, doc_id: str = "doc_id",
+        source: str = "source", text: str = "text") -> DataFrame:
+    """Per row of ``df``: doc_id, source, text_key (md5), size, source_size, target, taken.
+
+    size counts words (null text: 0); ``weights`` go round the sources in code-point order, null
+    last; taken counts the words of the row that the mix takes, at most ``repeat`` (rounded up) times
+    its size.  Rows without words take 0.  Repeated rows are rows of their own.  An empty table
+    gives an empty table.
+    """
+    placed, dealt = _deal(df, weights, repeat, block, doc_id, source, text)
+    taken = dealt.groupBy(*_KEYS, "no", "place").agg(F.sum("length").alias("taken"))
+    return taken.select(*_KEYS, "taken").unionByName(placed.filter("size = 0").select(*_KEYS, F.lit(0).cast("long").alias("taken")))
 
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it: taken / size, rounded.
-
-    Rows without words are not taken.  Rows equal in id, source and text share their copies evenly, rounded."""
-    plan = mix(df, doc_id=doc_id, source=source, text=text, **options).filter("size > 0")
-    copies = (plan.groupBy("doc_id", "source", "text_key")
-              .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies")).filter("__copies > 0")
-              .withColumnsRenamed({"doc_id": "__id", "source": "__of", "text_key": "__key"}))
-    rows = df.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(copies.hint("merge"), F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__of")) & (F.col("__text_key") == F.col("__key")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return plain(rows, "__id", "__of", "__key", "__text_key", "__copies", "__copy")
+    """The rows of ``df``, each as often as the mix takes it (taken / size, rounded), in the order of the
+    slots that take their first words.  Rows without words are not taken."""
+    _, dealt = _deal(df, doc_id=doc_id, source=source, text=text, **options)
+    copies = (dealt.filter("length > 0").groupBy("doc_id", "source", "text_key", "size", "place", "pass")
+              .agg(F.sum("length").alias("taken"), F.min(F.struct("slot", "at")).alias("__start")).filter("2 * taken >= size"))
+    # Rows equal in id, source and text are numbered on both sides.
+    row = lambda *c: F.md5(F.to_json(F.struct(*[F.col(x).alias(f"c{k}") for k, x in enumerate(c)])))
+    copies = copies.select(row("doc_id", "source", "text_key").alias("__row"), "place", "__start")
+    copies = copies.select("__row", F.dense_rank().over(Window.partitionBy("__row").orderBy("place")).alias("__nth"), "__start")
+    rows = df.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("__row", row(doc_id, source, "__text_key"))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    rows = rows.join(copies.hint("merge"), ["__row", "__nth"]).orderBy("__start")
+    return plain(rows, "__row", "__nth", "__text_key", "__start")
