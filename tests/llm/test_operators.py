@@ -233,6 +233,24 @@ def test_interleaved(spark):
     assert len(begins) - 3 <= len(out) <= len(begins)
 
 
+def test_mixed_documents_of_long_documents(spark):
+    """A source of a single document longer than twice its target keeps it, one of several the nearest in size."""
+    rows = [(1, "a", "w " * 20_000), (2, "b", "w " * 300), (3, "c", "w " * 40)]
+    rows += [(10 + k, "d", "w " * n) for k, n in enumerate([60_000, 50_000, 70_000])] + [(20, "e", ""), (21, "f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    plan = mixing.mix(df, weights=(1, 500, 500, 30, 1, 1), repeat=3).collect()
+    target = {r["source"]: r["target"] for r in plan}
+    assert 0 < target["a"] * 2 < 20_000
+    got = sorted(r["doc_id"] for r in mixing.mixed_documents(df, weights=(1, 500, 500, 30, 1, 1), repeat=3).collect())
+    size = {r["doc_id"]: r["size"] for r in plan}
+    words = {s: sum(size[d] for d in got for r in rows if r[0] == d and r[1] == s) for s in "abcdef"}
+    assert got.count(1) == 1 and got.count(2) == 3 and got.count(3) == 3 and not words["e"] and not words["f"]
+    assert 0 < words["d"] and abs(words["d"] - target["d"]) <= 35_000
+    # A target below one word has no slot.
+    tiny = spark.createDataFrame([(1, "a", "w " * 9), (2, "b", "w w"), (3, "b", "w " * 6)], "doc_id long, source string, text string")
+    assert [r["doc_id"] for r in mixing.mixed_documents(tiny, weights=(100, 1), repeat=1.9).collect()] == [1, 1, 2]
+
+
 # --- fingerprints ----------------------------------------------------------------------------
 
 def test_edited_likeness(corners, empty):

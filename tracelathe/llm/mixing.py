@@ -143,10 +143,23 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it (taken / size, rounded), in the order of the
-    slots that take their first words.  Rows without words are not taken."""
-    _, dealt = _deal(df, doc_id=doc_id, source=source, text=text, **options)
+    slots that take their first words.  Rows without words are not taken.
+
+    Only the document at the end of a source's target is taken in part; it comes whole where that leaves the
+    smaller error.  A source with a target above 0 that would have no row by this gets its row of the size
+    nearest to the target, in the place of its first slot, or at the end where it has none."""
+    placed, dealt = _deal(df, doc_id=doc_id, source=source, text=text, **options)
     copies = (dealt.filter("length > 0").groupBy("doc_id", "source", "text_key", "size", "place", "pass")
               .agg(F.sum("length").alias("taken"), F.min(F.struct("slot", "at")).alias("__start")).filter("2 * taken >= size"))
+    # A source's first row comes before all its others: it alone tells whether the source has a row.
+    first = placed.filter("size > 0 AND begin = 0").select("no", F.col("size").alias("__size"), F.col("target").alias("__target"))
+    first = first.filter("2 * floor(__target + 1e-6) < __size AND __target > 0").select("no")
+    nearest = placed.filter("size > 0").join(first, "no").groupBy("no").agg(F.min(F.struct(
+        F.abs(F.col("size") - F.col("target")).alias("error"), F.col("begin").alias("place"), "doc_id", "source", "text_key")).alias("it"))
+    starts = dealt.filter("length > 0 AND place = 0 AND begin = 0").groupBy("no").agg(F.min(F.struct("slot", "at")).alias("__start"))
+    end = F.struct(F.lit(2**63 - 1).alias("slot"), F.col("no").alias("at"))
+    nearest = nearest.join(starts, "no", "left").select("it.doc_id", "it.source", "it.text_key", "it.place", F.coalesce("__start", end).alias("__start"))
+    copies = copies.select("doc_id", "source", "text_key", "place", "__start").unionByName(nearest)
     # Rows equal in id, source and text are numbered on both sides.
     row = lambda *c: F.md5(F.to_json(F.struct(*[F.col(x).alias(f"c{k}") for k, x in enumerate(c)])))
     copies = copies.select(row("doc_id", "source", "text_key").alias("__row"), "place", "__start")
