@@ -413,6 +413,17 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all() and long[0, 0] < -1000 * 0.1
 
 
+def test_long_words_teach():
+    names = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "ba": 5, "▁ab": 6, "c": 7}
+    learn = lambda words: langid.learn_pieces(words, np.ones(len(words)), names)
+    long, other = learn(["ab" * 60, "ab" * 21]), learn(["c" * 41, "c" * 90])
+    assert long[3] > 0.5 > 10 * long[7] and other[7] > 0.5
+    assert (long > 0).all() and np.isfinite(long).all() and long.sum() == pytest.approx(1)
+    table = langid.with_ends(np.stack([long, other], axis=1))
+    assert langid.log_probabilities(["ab" * 100, "c" * 100], names, table).argmax(axis=1).tolist() == [0, 1]
+    assert langid.learn_pieces([], np.zeros(0), names) == pytest.approx(np.full(8, 1 / 8))
+
+
 def test_language(spark, corners, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op6_langid(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL").collect()

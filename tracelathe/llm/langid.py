@@ -96,9 +96,10 @@ def with_ends(p: np.ndarray) -> np.ndarray:
 
 def learn_pieces(strings: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: int = 3, prior: float = 0.01) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation over words and their counts.
-    Words of more than 40 letters teach nothing."""
-    keep = [k for k, s in enumerate(strings) if len(s) <= 40]
-    strings, counts = [MARK + strings[k] for k in keep], np.asarray(counts, float)[keep]
+    Words of more than 40 letters are cut into stretches of 40; only the first begins a word."""
+    cuts = [(k, a) for k, s in enumerate(strings) for a in range(0, len(s), 40)]
+    counts = np.asarray(counts, float)[[k for k, _ in cuts]]
+    strings = [("" if a else MARK) + strings[k][a:a + 40] for k, a in cuts]
     built = list(lattices(strings, pieces))
     p = np.full((len(pieces), 1), 1.0 / max(1, len(pieces)))
     for _ in range(rounds):
