@@ -396,6 +396,19 @@ def test_token_store(spark, corners, empty, tmp_path):
     assert one["ids_crc32"] == zlib.crc32(np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes())
 
 
+def test_token_queries_row_by_row(spark, tiny_rows):
+    from tracelathe.llm import token_units
+    t, start = token_units.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 0
+    wanted = [(d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for d, x in tiny_rows]
+    assert rows_of(queries.op8_token_counts(spark, TINY), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(wanted)
+    t, wanted = token_units.tokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    for d, x in sorted(tiny_rows):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        wanted.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert rows_of(queries.op10_token_store(spark, TINY), "doc_id", "start", "n_tokens", "ids_crc32") == wanted
+
+
 # --- learned operators -----------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
