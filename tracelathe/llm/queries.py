@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to the whole table and
+"""The registered queries of the thirteen operators: each applies its operator to the whole table and
 derives the contract's columns from the operator's real output."""
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelathe.llm import exact_dedup, langid, minhash, mixing, pieces, quality, repeats, simhash, token_counts, token_store
+from tracelathe.llm import (exact_dedup, filter_audit, langid, merkle, minhash, mixing, pieces, quality, repeats, simhash, token_counts,
+                            token_store, windows)
 from tracelathe.llm.common import documents, held_out, materialize, shared_dir
 from tracelathe.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -75,5 +76,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    out = merkle.audit(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.without_repeated_windows(documents(spark, sf_dir, "doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {q.__name__: q for q in (op1_minhash, op2_mixing, op3_simhash, op4_pieces, op5_quality, op6_langid, op7_exact_dedup,
-                                   op8_token_counts, op9_repeats, op10_token_store)}
+                                   op8_token_counts, op9_repeats, op10_token_store, op11_merkle, op12_windows, op13_filter_audit)}
