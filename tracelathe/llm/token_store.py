@@ -48,18 +48,18 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[int], list
     padded = padded.ravel()
     take, choice = np.ones(len(padded), np.uint8), np.full(len(padded), ESCAPE, np.uint8)
     # More ids to a word leave each fewer bits: where n ids don't fit, more won't.
-    where, most, held = np.arange(n) + gap * (np.arange(n) // block), values, 1
+    most, held, real = padded.copy(), 1, n - (blocks - 1) * block
     for selector in range(len(COUNTS) - 1, -1, -1):
         count = COUNTS[selector]
-        for k in range(held, count):
-            most = np.maximum(most, padded[where + k])
+        for k in range(held, count):  # the greatest of ``count`` neighbours, for all places at once
+            np.maximum(most[:-k], padded[k:], out=most[:-k])
         held, bits = count, 60 // count
-        if bits < 64 if values.dtype == np.uint64 else bits < 32:
-            fits = most < values.dtype.type(1 << bits)
-            where, most = where[fits], most[fits]
-        if not len(where):
+        fits = most < padded.dtype.type(1 << bits) if bits < 8 * padded.itemsize else np.ones(len(most), bool)
+        place = fits.reshape(blocks, -1)
+        if not (place[:-1, :block].any() or place[-1, :real].any()):
             break
-        take[where], choice[where] = count, selector
+        np.putmask(take, fits, count)
+        np.putmask(choice, fits, selector)
     steps, starts, words = take.tolist(), [], []
     add = starts.append
     for k in range(blocks):

@@ -21,8 +21,8 @@ from tracelathe.llm.common import UnitCache
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: White space, or what some library takes for it, beyond blank, tab and line ends.
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-#: Anything but printable ASCII, line ends and letters of Latin-1, or what begins a special token.
-UNUSUAL = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
+#: In Latin-1: printable ASCII, tab, line ends and letters.
+USUAL = bytes(b for b in range(256) if 32 <= b < 127 or b in b"\t\n\r" or b >= 0xC0 and b not in b"\xd7\xf7")
 _LOADED: dict = {}
 
 
@@ -37,6 +37,16 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def is_usual(text: str) -> bool:
+    """Whether a text holds nothing but ``USUAL`` signs, nor what begins a special token."""
+    if "<|" in text:
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, USUAL)
+    except UnicodeEncodeError:
+        return False
+
+
 def units(text: str) -> list[str]:
     return [text] if RARE_SPACE.search(text) else UNIT.findall(text)
 
@@ -48,10 +58,10 @@ class Encoder:
         t = tokenizer(path)
         solve = lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
         self.cut, self.lower = cut, table
-        self.units, self.strings = UnitTable(solve), UnitCache(solve, 100_000)
+        self.units, self.strings = UnitTable(solve, limit=800_000), UnitCache(solve, 100_000)
 
     def _usual(self, texts: list[str]) -> tuple[list[bool], list[str]]:
-        usual = [not UNUSUAL.search(t) for t in texts]
+        usual = [is_usual(t) for t in texts]
         return usual, [t if u else "" for t, u in zip(texts, usual)]
 
     def _unusual(self, text: str) -> list[int]:
