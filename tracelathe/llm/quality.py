@@ -136,12 +136,12 @@ def fit(features: list[np.ndarray], y: np.ndarray, class_totals: tuple[float, fl
 def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> tuple | None:
     """The model from labelled rows, ``per_class`` of each class (those of the least hash of the id);
     None where a class is missing.  Nulls in labels and ids teach nothing."""
-    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).filter("__id IS NOT NULL AND label IN (0, 1)").distinct()
-    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    known = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").distinct()
+    totals = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     if len(totals) < 2:
         return None
     order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = known.filter("label = 0").orderBy(*order).limit(per_class).union(known.filter("label = 1").orderBy(*order).limit(per_class))
+    chosen = known.filter("__label = 0").orderBy(*order).limit(per_class).union(known.filter("__label = 1").orderBy(*order).limit(per_class))
     rows = df.join(F.broadcast(chosen), df[doc_id] == F.col("__id"))  # 2 x per_class rows
 
     @F.arrow_udf("array<int>")
@@ -158,7 +158,7 @@ def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         w, r, bias, theta = fit([np.asarray(f) for f in group["places"]], y, (totals[0], totals[1]))
         return pd.DataFrame({"w": [w.tobytes()], "r": [r.tobytes()], "bias": [bias], "theta": [theta.tolist()]})
 
-    sample = small_batches(rows).select(F.col("__id").alias("id"), "label", places(F.col(text)).alias("places"))
+    sample = small_batches(rows).select(F.col("__id").alias("id"), F.col("__label").alias("label"), places(F.col(text)).alias("places"))
     got = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(model, "w binary, r binary, bias double, theta array<double>").head()
     return None if got is None else (np.frombuffer(got["w"], "<f4"), np.frombuffer(got["r"], "<f4"), got["bias"], np.array(got["theta"]))
 

@@ -253,7 +253,7 @@ def without_repeats(df: DataFrame, length: int = 400, text: str = "text", hot: i
     """
     df = plain(df, "spans", "kept_bytes")
     found = repeated_spans(df, length, text, hot)
-    found = found.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    found = found.groupBy(F.col("digest").alias("__name")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
     @F.arrow_udf("struct<spans: array<struct<start: bigint, end: bigint>>, kept_bytes: binary>")
     def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -276,5 +276,5 @@ def without_repeats(df: DataFrame, length: int = 400, text: str = "text", hot: i
             [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
             ["spans", "kept_bytes"])
 
-    rows = with_digest(df, text).join(found.hint("merge"), F.col("__digest") == F.col("digest"), "left")
+    rows = with_digest(df, text).join(found.hint("merge"), F.col("__digest") == F.col("__name"), "left")
     return rows.withColumn("__cut", cut(F.col(text), F.col("__spans"))).select(*df.columns, "__cut.spans", "__cut.kept_bytes")
