@@ -74,3 +74,46 @@ def test_rows_come_in_the_order_of_the_mix(spark):
     copies = [(sorted(starts[d])[k], d) for d, n in Counter(wanted).items() for k in range(n)]
     assert wanted == [d for _, d in sorted(copies)]
     assert wanted == [r["doc_id"] for r in stages["encode"](spark, materialize(mixed, "test"), TINY).collect()]
+
+
+def test_repeated_rows_and_sources_in_the_mix(spark):
+    """Every row comes as often as ``mix`` takes it, rows equal in id, source and text too, and keeps its own columns."""
+    rows = [(k % 40, f"word{k % 40} " * (30 + k % 40), f"s{k % 3}" if k % 4 else None, k, f"extra{k}") for k in range(120)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, source string, size long, slot string"), "test")
+    wanted = Counter()
+    for r in mixing.mix(docs, block=8).collect():
+        wanted[r["doc_id"], r["source"]] += int(r["taken"] / r["size"] + 0.5)
+    for part_words in (200, 10**7):
+        out = materialize(mixing.mixed_documents(docs, block=8, part_words=part_words), "test").collect()
+        assert Counter((r["doc_id"], r["source"]) for r in out) == +wanted
+        assert {tuple(r) for r in out} <= set(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = documents(spark, TINY).limit(60)
+    names = ["lang_pred", "score", "keep_id", "group_size", "kept", "digest", "label", "text_key", "size", "slot", "place", "target", "taken",
+             "group", "component_id", "n_shingles", "set_key", "no", "at", "part"]
+    docs = materialize(docs.selectExpr("*", *[f"doc_id * {7 + k} AS {n}" for k, n in enumerate(names)]), "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, TINY)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == r["doc_id"] * (7 + k) for r in got for k, n in enumerate(names)), name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, TINY)
+    assert out.count() == 60
+
+
+def test_stages_with_nulls_and_repeats(spark):
+    schema = documents(spark, TINY).schema
+    some = [tuple(r) for r in documents(spark, TINY).limit(20).collect()]
+    rows = some + [(None, *some[0][1:]), (None, None, None, None, None), (900, None, "en", None, 0), (901, "", None, "s", 0), some[1], some[1]]
+    docs = materialize(spark.createDataFrame(rows, schema), "test")
+    stages = dict(corpus_pipeline.STAGES)
+    language = materialize(stages["language"](spark, docs, TINY), "test")
+    assert {900, 901} & set(r["doc_id"] for r in language.collect()) == set() and language.filter("text IS NULL").count() == 0
+    exact = stages["exact_dedup"](spark, docs, TINY)
+    assert exact.count() == len({brute.re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows})
+    near = stages["near_dedup"](spark, docs, TINY)
+    assert near.filter("text IS NULL OR text = ''").count() == 3
+    assert stages["mixing"](spark, docs, TINY).filter("text IS NULL").count() == 0
+    assert stages["encode"](spark, docs, TINY).count() == len(rows)

@@ -39,7 +39,8 @@ def plain(df: DataFrame, *made: str) -> DataFrame:
 
 def with_written_order(df: DataFrame, name: str) -> DataFrame:
     """A table read from files, with a column ``name`` by which its rows sort as they were written."""
-    return df.withColumn(name, F.struct("_metadata.file_name", "_metadata.row_index"))
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")  # as a number: names of five and six digits don't sort
+    return df.withColumn(name, F.struct(part.alias("part"), "_metadata.file_name", "_metadata.row_index"))
 
 
 def texts_of(column: pa.Array) -> list[str]:

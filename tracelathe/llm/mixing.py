@@ -141,30 +141,49 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: float = 3
     return taken.select(*_KEYS, "taken").unionByName(placed.filter("size = 0").select(*_KEYS, F.lit(0).cast("long").alias("taken")))
 
 
-def mixed_documents(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mixed_documents(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", part_words: int = 10_000_000,
+                    most_parts: int = 100_000, **options) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it (taken / size, rounded), in the order of the
     slots that take their first words.  Rows without words are not taken.
 
     Only the document at the end of a source's target is taken in part; it comes whole where that leaves the
     smaller error.  A source with a target above 0 that would have no row by this gets its row of the size
-    nearest to the target, in the place of its first slot, or at the end where it has none."""
+    nearest to the target, in the place of its first slot, or at the end where it has none.
+
+    Texts travel twice: to meet their places, and to the partition of their slot.  As slots hold equally many words, equal
+    ranges of slots make equal partitions (of about ``part_words``, or ``most_parts`` larger ones), so nothing is sampled.  Rows equal in id, source and text are
+    told apart by number; only those are stored in between.  An empty table gives an empty table; columns of ``df`` are kept as
+    they are, whatever their names."""
     placed, dealt = _deal(df, doc_id=doc_id, source=source, text=text, **options)
-    copies = (dealt.filter("length > 0").groupBy("doc_id", "source", "text_key", "size", "place", "pass")
+    dealt = materialize(dealt.filter("length > 0").select("doc_id", "source", "text_key", "no", "size", "place", "pass", "slot", "at", "begin", "length"), "dealt")
+    copies = (dealt.groupBy("doc_id", "source", "text_key", "size", "place", "pass")
               .agg(F.sum("length").alias("taken"), F.min(F.struct("slot", "at")).alias("__start")).filter("2 * taken >= size"))
     # A source's first row comes before all its others: it alone tells whether the source has a row.
     first = placed.filter("size > 0 AND begin = 0").select("no", F.col("size").alias("__size"), F.col("target").alias("__target"))
     first = first.filter("2 * floor(__target + 1e-6) < __size AND __target > 0").select("no")
     nearest = placed.filter("size > 0").join(first, "no").groupBy("no").agg(F.min(F.struct(
         F.abs(F.col("size") - F.col("target")).alias("error"), F.col("begin").alias("place"), "doc_id", "source", "text_key")).alias("it"))
-    starts = dealt.filter("length > 0 AND place = 0 AND begin = 0").groupBy("no").agg(F.min(F.struct("slot", "at")).alias("__start"))
+    starts = dealt.filter("place = 0 AND begin = 0").groupBy("no").agg(F.min(F.struct("slot", "at")).alias("__start"))
     end = F.struct(F.lit(2**63 - 1).alias("slot"), F.col("no").alias("at"))
     nearest = nearest.join(starts, "no", "left").select("it.doc_id", "it.source", "it.text_key", "it.place", F.coalesce("__start", end).alias("__start"))
     copies = copies.select("doc_id", "source", "text_key", "place", "__start").unionByName(nearest)
-    # Rows equal in id, source and text are numbered on both sides.
+
     row = lambda *c: F.md5(F.to_json(F.struct(*[F.col(x).alias(f"c{k}") for k, x in enumerate(c)])))
     copies = copies.select(row("doc_id", "source", "text_key").alias("__row"), "place", "__start")
-    copies = copies.select("__row", F.dense_rank().over(Window.partitionBy("__row").orderBy("place")).alias("__nth"), "__start")
+    recurring = placed.select(row("doc_id", "source", "text_key").alias("__row")).groupBy("__row").count().filter("count > 1").select("__row", F.lit(True).alias("__many"))
+    copies = materialize(copies.join(recurring, "__row", "left"), "copies")
     rows = df.withColumn("__text_key", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn("__row", row(doc_id, source, "__text_key"))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    rows = rows.join(copies.hint("merge"), ["__row", "__nth"]).orderBy("__start")
-    return plain(rows, "__row", "__nth", "__text_key", "__start")
+    # One entry for each recurring row here, its copies below.
+    once = copies.filter("__many IS NULL").select("__row", "__start", "__many")
+    several = copies.filter("__many").select("__row", F.lit(None).cast(copies.schema["__start"].dataType).alias("__start"), "__many").distinct()
+    rows = rows.join(once.unionByName(several).hint("merge"), "__row")
+    if not copies.filter("__many").isEmpty():
+        rows = materialize(rows, "mixed")
+        nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+        places = copies.filter("__many").select("__row", F.dense_rank().over(Window.partitionBy("__row").orderBy("place")).alias("__nth"), "__start")
+        numbered = rows.filter("__many").drop("__start").withColumn("__nth", nth).join(places.hint("merge"), ["__row", "__nth"])
+        rows = rows.filter("__many IS NULL").unionByName(numbered.drop("__nth"))
+    last = dealt.agg(F.coalesce(F.max("slot"), F.lit(0))).head()[0]
+    parts = min(most_parts, max(1, round((last + 1) * options.get("block", 64) / part_words)))
+    part = F.least(F.expr(f"__start.slot DIV {-(-(last + 1) // parts)}"), F.lit(parts - 1))
+    return plain(rows.repartitionById(parts, part.cast("int")).sortWithinPartitions("__start"), "__row", "__text_key", "__start", "__many")
