@@ -81,6 +81,24 @@ def test_unreadable_traces_are_dropped_whole(spark, root):
     assert lines.where("test_id = 't_bytes'").first().raw == "[1] MEM_R [0x1] 32b a.b 0x1"
 
 
+def test_split_traces_keep_their_order(spark, tmp_path):
+    """A plain-text trace that Spark splits equals the same trace gzipped, line by line."""
+    texts = [f"[{i}] MEM_R [0x{i:x}] 32b reg[{i % 5}] 0x{i:x}" if i % 3 else "" for i in range(20_000)]
+    for name, trace in (("plain", "trace.log"), ("packed", "ptracker.log.gz")):
+        os.makedirs(tmp_path / name / "t")
+        with (gzip.open if trace.endswith("gz") else open)(tmp_path / name / "t" / trace, "wt") as f:
+            f.write("\n".join(texts))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        plain = regression.read_traces(spark, str(tmp_path / "plain"), trace="trace.log", check=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    packed = regression.read_traces(spark, str(tmp_path / "packed"))
+    rows = [tuple(r) for r in plain.orderBy("line_id").collect()]
+    assert rows == [("t", i, x) for i, x in enumerate(texts)] == [tuple(r) for r in packed.orderBy("line_id").collect()]
+
+
 def test_missing_root(spark, tmp_path):
     assert regression.collect_runs(spark, str(tmp_path / "none")).count() == 0
     assert engine.run(spark, str(tmp_path / "none")) is None

@@ -194,3 +194,17 @@ def test_report_holds_all_runs_of_a_bucket(spark):
     assert [r["rank"] for r in report] == list(range(1, 46)) and {r["test_id"] for r in report} == {"f0", "f1", "f2"}
     assert [abs(r["z"]) for r in report] == sorted((abs(r["z"]) for r in report), reverse=True)
     assert triage.triage_report(triage.failure_buckets(signed), signed, dev, k=5).count() == 5
+
+
+def test_values_off_a_constant_are_reported_first(spark):
+    """All passing runs share a value: there is no z, and the deviation is the strongest evidence."""
+    rows = [(f"p{k}", "PASS", "register_values", e, "max", v) for k in range(3) for e, v in (("fixed", 1.0), ("other", 2.0), ("varies", float(k)))]
+    rows += [("f", "FAIL", "register_values", e, "max", v) for e, v in (("fixed", 9.0), ("other", 2.0), ("varies", 50.0))] + [("g", "FAIL", "register_values", "fixed", "max", 4.0)]
+    features = spark.createDataFrame(rows, "test_id string, status string, family string, entity string, feature string, value double")
+    dev = triage.deviations(features, triage.learn_baseline(features))
+    assert sorted((r.test_id, r.entity, r.z is None) for r in dev.collect()) == [("f", "fixed", True), ("f", "varies", False), ("g", "fixed", True)]
+    runs = features.select("test_id", "status").distinct()
+    signed = triage.signatures(runs, spark.createDataFrame([], "test_id string, ts_ns long, line_id long, pos int, message string"), dev)
+    assert {(r.test_id, r.register) for r in signed.collect()} == {("f", "fixed"), ("g", "fixed")}
+    report = triage.triage_report(triage.failure_buckets(signed), signed, dev).orderBy("rank").collect()
+    assert [(r["test_id"], r["entity"], r["value"]) for r in report] == [("f", "fixed", 9.0), ("g", "fixed", 4.0), ("f", "varies", 50.0)]

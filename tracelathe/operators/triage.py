@@ -35,7 +35,9 @@ def learn_baseline(features: DataFrame) -> DataFrame:
 
 
 def deviations(features: DataFrame, baseline: DataFrame, z_limit: float = Z_LIMIT) -> DataFrame:
-    """Features of failing runs that lie more than ``z_limit`` deviations off or outside [p05, p95]."""
+    """Features of failing runs that lie more than ``z_limit`` deviations off or outside [p05, p95].
+
+    z is null for a feature that all passing runs share one value of; any other value is outside."""
     bad = finite(features).where(F.col("status") == FAIL)
     z = F.when(F.col("std") > 0, (F.col("value") - F.col("mean")) / F.col("std"))
     met = carry.salted_join(bad, baseline, KEY, ["test_id"]).withColumn("z", z)
@@ -44,6 +46,11 @@ def deviations(features: DataFrame, baseline: DataFrame, z_limit: float = Z_LIMI
             .select("test_id", *KEY, "value", "mean", "std", "p05", "p95", "z", outside.alias("outside")))
 
 
+def _strength() -> list:
+    """From the strongest deviation down: values off a constant first, by their distance; then by deviations."""
+    return [F.col("z").isNotNull().cast("int"), -F.round(F.coalesce(F.abs("z"), F.abs(F.col("value") - F.col("mean"))), 6)]
+
+
 def unseen(found: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of failing runs whose ``keys`` no passing run shows (registers, sequences, edges)."""
     shown = found.select("test_id", *keys).distinct()
@@ -58,9 +65,9 @@ def signatures(runs: DataFrame, err: DataFrame, deviating: DataFrame, parsed: Da
     With ``parsed`` (test_id) given, failing runs that are not in it share a message of their own."""
     first = err.groupBy("test_id").agg(
         F.min_by("message", F.struct("ts_ns", "line_id", "pos")).alias("message"))
-    worst = (deviating.where((F.col("family") == "register_values") & F.col("z").isNotNull())
+    worst = (deviating.where(F.col("family") == "register_values")
              .groupBy("test_id").agg(
-                 F.min_by("entity", F.struct(-F.round(F.abs("z"), 6), "entity", "feature")).alias("register"),
+                 F.min_by("entity", F.struct(*_strength(), "entity", "feature")).alias("register"),
                  F.max(F.abs("z")).alias("max_z")))
     failing = runs.where(F.col("status") == FAIL).select("test_id")
     if parsed is None:
@@ -71,7 +78,7 @@ def signatures(runs: DataFrame, err: DataFrame, deviating: DataFrame, parsed: Da
     return failing.join(first, "test_id", "left").join(worst, "test_id", "left").select(
         "test_id", F.coalesce(masked(F.col("message")), without).alias("message"),
         F.coalesce("register", F.lit("")).alias("register"),
-        F.coalesce("max_z", F.lit(0.0)).alias("max_z"))
+        F.coalesce("max_z", F.lit(0.0)).alias("max_z"))  # of features that vary
 
 
 def failure_buckets(signed: DataFrame) -> DataFrame:
@@ -83,11 +90,13 @@ def failure_buckets(signed: DataFrame) -> DataFrame:
 def triage_report(buckets: DataFrame, signed: DataFrame, deviating: DataFrame, k: int | None = None) -> DataFrame:
     """The deviations of all runs of each bucket, the strongest first; only the first ``k`` if given.
 
-    A bucket may hold most failing runs: ranks are running counts along a range-sorted cut."""
+    Values off what all passing runs share come first (their z is null), by distance.  A bucket may hold most
+    failing runs: ranks are running counts along a range-sorted cut."""
     of_bucket = signed.select("test_id", _bucket().alias("bucket_id")).join(buckets.select("bucket_id", "size"), "bucket_id")
-    rows = carry.salted_join(deviating.where(F.col("z").isNotNull()), of_bucket, ["test_id"], KEY)
-    order = ["_strength", "test_id", *KEY]
-    cut = carry.range_chunks(rows.withColumn("_strength", -F.round(F.abs("z"), 6)).withColumn("_one", F.lit(1)), ["bucket_id", *order], "report")
+    rows = carry.salted_join(deviating, of_bucket, ["test_id"], KEY)
+    order = ["_scaled", "_strength", "test_id", *KEY]
+    rows = rows.withColumns(dict(zip(order, _strength()))).withColumn("_one", F.lit(1))
+    cut = carry.range_chunks(rows, ["bucket_id", *order], "report")
     ranked = carry.with_running(cut, ["bucket_id"], order, "_one", "rank")
     return (ranked.where(F.col("rank") <= k) if k is not None else ranked).select(
         "bucket_id", "size", "test_id", "rank", *KEY, "value", "mean", "z")

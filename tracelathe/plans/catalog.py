@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelathe.operators import (access_patterns as ap, activity, carry, cluster, embed, errors, evidence,
-                                  forest, fsm as machines, parse, registers, sequences, text, triage)
+                                  forest, fsm as machines, parse, registers, sequences, spanning, text, triage)
 from tracelathe.plans import views
 from tracelathe.plans.features import assemble, extract_features
 from tracelathe.session import materialize, spread
@@ -66,6 +66,21 @@ def parse_access(spark, sf):
     return parse.parse_access(views.lines(spark, sf))
 
 
+@query("test_id:s line_id:i pos:i ts_ns:i action:s address:s descr:s value:i comment:s")
+def parse_spanning(spark, sf):
+    """Access records broken over lines."""
+    return parse.parse_access(spanning.joined(materialize(views.broken_lines(spark, sf), "broken-lines")))
+
+
+@query("test_id:s line_id:i name:s what:s ts_ns:i")
+def parse_spanning_marks(spark, sf):
+    """Transitions and errors broken over lines, with the time of the access record before them."""
+    lines = materialize(spanning.joined(materialize(views.broken_lines(spark, sf), "broken-lines")), "joined-lines")
+    fsm, err = parse.parse_fsm(lines, ts_source="record"), parse.parse_errors(lines, "record")
+    return (fsm.select("test_id", "line_id", F.col("fsm_name").alias("name"), F.concat("from_state", F.lit("->"), "to_state").alias("what"), "ts_ns")
+            .unionByName(err.select("test_id", "line_id", F.lit("error").alias("name"), F.col("message").alias("what"), "ts_ns")))
+
+
 @query("test_id:s line_id:i pos:i ts_ns:i fsm_name:s from_state:s to_state:s kind:s")
 def parse_fsm(spark, sf):
     return parse.parse_fsm(_steps_lines(spark, sf))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelathe.operators import carry, evidence, fsm as machines, parse, sequences, triage
+from tracelathe.operators import carry, errors, evidence, fsm as machines, parse, sequences, spanning, triage
 from tracelathe.plans.features import assemble, extract_features
 from tracelathe.schema import BURST_GAP_NS, CONTEXT_NS
 from tracelathe.session import materialize
@@ -27,7 +27,8 @@ class Options:
 
 def parse_tables(lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     """Typed tables, written once.  Accesses are range-sorted by run and time on the way, and keep
-    the cut (``tchunk``) that all time-ordered operators work along."""
+    the cut (``tchunk``) that all time-ordered operators work along.  Records may span lines."""
+    lines = spanning.joined(lines)
     cut = carry.range_chunks(parse.parse_access(lines), ["test_id", *carry.TIME_ORDER], "access")
     fsm = materialize(parse.parse_fsm(lines, options.dedupe_sleep, options.ts_source), "fsm")
     err = materialize(parse.parse_errors(lines, options.ts_source), "err")

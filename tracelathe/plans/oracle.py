@@ -285,8 +285,8 @@ def _triage(melted: str, only: str = "TRUE") -> str:
 
 
 BUCKETS = f"""{_triage(MELTED)}, {ERR}, fst AS (SELECT test_id, min_by(message, (ts_ns, line_id)) AS message FROM err GROUP BY 1),
- wst AS (SELECT test_id, min_by(entity, (-round(abs(z), 6), entity, feature)) AS register, max(abs(z)) AS max_z FROM dev
-  WHERE family = 'register_values' AND z IS NOT NULL GROUP BY 1),
+ wst AS (SELECT test_id, min_by(entity, (z IS NOT NULL, -round(coalesce(abs(z), abs(value - mean)), 6), entity, feature)) AS register,
+  max(abs(z)) AS max_z FROM dev WHERE family = 'register_values' GROUP BY 1),
  sig AS (SELECT r.test_id, coalesce(regexp_replace(regexp_replace(message, '0x[0-9a-fA-F]+', '<hex>', 'g'), '[0-9]+', '<n>', 'g'), '')
   AS message, coalesce(register, '') AS register, coalesce(max_z, 0) AS max_z FROM runs r LEFT JOIN fst USING (test_id)
   LEFT JOIN wst USING (test_id) WHERE status = 'FAIL'),
@@ -303,6 +303,9 @@ def bodies() -> dict[str, str]:
     err_ev = f"{EV}, {ERR}"
     out = {
         "parse_access": f"WITH {ACC} SELECT * FROM acc",
+        "parse_spanning": f"WITH {ACC} SELECT test_id, 4 * line_id AS line_id, pos, ts_ns, action, address, descr, value, comment FROM acc",
+        "parse_spanning_marks": f"WITH {FSM}, {ERR} SELECT test_id, 4 * line_id AS line_id, fsm_name AS name, from_state || '->' || to_state AS what, ts_ns"
+                                " FROM fsm UNION ALL SELECT test_id, 4 * line_id, 'error', message, ts_ns FROM err",
         "parse_fsm": f"WITH {FSM} SELECT * REPLACE (k % 4 AS ts_ns), 'generic' AS kind FROM fsm",
         "parse_errors": f"WITH {err_ev} SELECT * REPLACE (k % 4 AS ts_ns) FROM err",
         "asof_timestamp": f"WITH {FSM}, {ERR} SELECT test_id, line_id, 'fsm' AS kind, ts_ns FROM fsm UNION ALL"
@@ -371,8 +374,8 @@ def bodies() -> dict[str, str]:
         "unseen_registers": _unseen(ACC, "SELECT * FROM acc", "descr"),
         "failure_buckets": f"WITH {BUCKETS} SELECT * FROM bck",
         "triage_report": f"WITH {BUCKETS} SELECT * FROM (SELECT bucket_id, size, dev.test_id, family, entity, feature, value, z,"
-                         " row_number() OVER (PARTITION BY bucket_id ORDER BY round(abs(z), 6) DESC, dev.test_id, family, entity, feature) AS rank"
-                         " FROM bck JOIN sig USING (message, register) JOIN dev ON dev.test_id = sig.test_id WHERE z IS NOT NULL)",
+                         " row_number() OVER (PARTITION BY bucket_id ORDER BY z IS NOT NULL, round(coalesce(abs(z), abs(value - mean)), 6) DESC,"
+                         " dev.test_id, family, entity, feature) AS rank FROM bck JOIN sig USING (message, register) JOIN dev ON dev.test_id = sig.test_id)",
         "erratic_registers": f"""WITH {_triage(_melted('register_values', 'descr', VALUES, VALUE_FEATURES),
                                                "feature IN ('std', 'diff_std', 'mean_diff', 'change_frequency')")}
  SELECT * FROM (SELECT entity AS descr, feature, value AS failing_value, mean AS baseline_mean, z, test_id, row_number() OVER

@@ -49,6 +49,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("test_id", (F.col("event_id") * 4 + F.col("i")).alias("line_id"), "raw"))
 
 
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records, two thirds of them over two to four lines; line ids are four times as large."""
+    whole = tables(spark, sf_dir)["lines"]
+    kind = F.expr("line_id div 4 % 3")
+    at = (F.when(kind == 1, F.lit(r" (?=MEM_)| (?=0x[0-9a-f]+ <--)|(?<=FSM) | (?=-> )")).when(kind == 2, F.lit(r" (?=<-- )|(?<= 32b) |(?<=-> )|(?<=ERROR:) ")).otherwise("\n"))
+    return (whole.select("test_id", "line_id", F.posexplode(F.split("raw", at)).alias("i", "raw"))
+            .select("test_id", (F.col("line_id") * 4 + F.col("i")).alias("line_id"), "raw"))
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
     return ev.select("test_id", F.when((F.col("event_type") == "error") & (F.col("value") > 200),

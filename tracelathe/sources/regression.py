@@ -8,7 +8,7 @@ import zlib
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelathe.operators import carry
 from tracelathe.schema import (FAIL, FAIL_MARK, PASS, RAW_LINES, RUN_LOG_NAME, RUNS, TRACE_NAME,
@@ -62,9 +62,9 @@ def list_runs(spark: SparkSession, root: str, trace=TRACE_NAME, run_log=RUN_LOG_
 
 
 def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataFrame | None:
-    """(uri, line_id, raw).  Bytes that are no UTF-8 are dropped; unreadable files are skipped.
+    """(uri, split, line_id, raw).  Bytes that are no UTF-8 are dropped; unreadable files are skipped.
 
-    Line ids are local to the task that reads the file (gzip does not split) and rise within it.
+    Line ids are local to the task that reads a split and rise within it (gzip does not split: its one split is 0).
     """
     try:
         text = spark.read.option("ignoreCorruptFiles", "true").text(_glob(root, name), wholetext=whole_text)
@@ -72,7 +72,8 @@ def _lines(spark: SparkSession, root: str, name: str, whole_text=False) -> DataF
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return text.select(F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line_id"),
+    return text.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("split"),
+                       F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line_id"),
                        F.translate("value", "�", "").alias("raw"))
 
 
@@ -166,6 +167,14 @@ def unreadable(spark: SparkSession, root: str, trace=TRACE_NAME) -> DataFrame:
     return files.mapInPandas(probe, "test_id string")
 
 
+def _in_one_order(lines: DataFrame) -> DataFrame:
+    """Line ids that rise through a whole file, from those of its splits: lines of the splits before are counted."""
+    splits = lines.groupBy("test_id", "split").agg(F.min("line_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("test_id").orderBy("split")) - F.col("_n")
+    splits = splits.select("test_id", "split", (before - F.col("_first")).alias("_shift"))
+    return lines.join(splits, ["test_id", "split"]).withColumn("line_id", F.col("line_id") + F.col("_shift"))
+
+
 def read_traces(spark: SparkSession, root: str, runs: DataFrame | None = None, trace=TRACE_NAME,
                 whole_text=False, check=True, bad: DataFrame | None = None) -> DataFrame:
     """(test_id, line_id, raw) of the traces, written once so that line ids stay as they are.
@@ -176,11 +185,14 @@ def read_traces(spark: SparkSession, root: str, runs: DataFrame | None = None, t
     text = _lines(spark, root, trace, whole_text)
     if text is None:
         return spark.createDataFrame([], RAW_LINES)
-    keyed = text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "uri", "line_id", "raw")
+    keyed = text.select(_run_of(_decoded(F.col("uri"))).alias("test_id"), "split", "line_id", "raw")
     if check:
         if bad is None:
             bad = materialize(unreadable(spark, root, trace), "unreadable")
         keyed = carry.keep_runs(keyed, bad, "left_anti")
     if runs is not None:
         keyed = carry.keep_runs(keyed, runs)
-    return materialize(keyed.select("test_id", "line_id", "raw"), "raw-lines")
+    stored = materialize(keyed.select("test_id", "split", "line_id", "raw"), "raw-lines")
+    if not stored.where("split > 0").isEmpty():  # a plain-text trace that Spark has split
+        stored = materialize(_in_one_order(stored), "ordered-lines")
+    return stored.select("test_id", "line_id", "raw")
