@@ -122,6 +122,12 @@ def test_whole_run(spark, root, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "failure_buckets")).count() == len(buckets)
     for name in ("unseen_registers", "unseen_sequences", "unseen_edges", "register_anomalies", "access_clusters"):
         out[name].count()
+    assert {(r.test_id, r.message) for r in out["err"].collect()} == {(t, m) for t in ("t_fail", "t_zero") for m in ("timeout at 0x1f code 12",)}
+    assert {r.term for r in out["error_terms"].collect()} >= {"timeout"} and out["error_context"].count() == 2
+    assert out["error_context_rows"].count() == sum(r.context_size for r in out["error_context"].collect())
+    assert out["fsm_edges"].where("test_id = 't_fail'").agg(F.sum("n")).first()[0] == 10 and out["state_visits"].where("test_id = 't_fail'").agg(F.sum("visits")).first()[0] == 11
+    assert {r.cycle for r in out["fsm_cycles"].where("test_id = 't_fail'").collect()} <= {"S0->S1", "S0->S1->S2", "S1->S2", "S0->S2"}
+    assert out["sequence_windows"].where("test_id = 't_fail'").count() == 58 == out["sequence_counts"].where("test_id = 't_fail'").agg(F.sum("n")).first()[0]
 
 
 def test_without_intelligence_and_selected_families(spark, root):

@@ -66,9 +66,13 @@ def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options(),
     deviating = materialize(triage.deviations(out["run_features"], baseline), "deviations")
     signed = materialize(triage.signatures(chosen, err, deviating, lines.select("test_id").distinct()), "signatures")
     buckets = triage.failure_buckets(signed)
-    edges = machines.transitions(fsm)
-    windows = sequences.sequence_counts(sequences.sequence_windows(access))
+    edges = materialize(machines.transitions(fsm), "edges")
+    steps = sequences.sequence_windows(access)
+    windows = sequences.sequence_counts(steps)
     return out | {
+        "sequence_windows": steps, "sequence_counts": windows, "fsm_edges": edges, "state_visits": machines.state_visits(edges),
+        "fsm_cycles": machines.cycles(edges), "error_context": errors.error_context(access, err, options.context_ns),
+        "error_context_rows": errors.context_rows(access, err, options.context_ns), "error_terms": errors.error_terms(err),
         "baseline": baseline, "deviations": deviating,
         "unseen_registers": triage.unseen(access, parsed, ["descr"]),
         "unseen_sequences": triage.unseen(windows, parsed, ["sequence"]),
