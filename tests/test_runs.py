@@ -43,6 +43,22 @@ def test_cycles_of_any_length_are_known(lines_of):
         assert {r.fsm_name: (r.n_cycles, r.has_cycles) for r in summary} == {"ring": (0, True), "line": (0, False)}
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 states, the same closed to a ring, ladders, and rings behind chains."""
+    tables = []
+    plain = machines.materialize
+    monkeypatch.setattr(machines, "materialize", lambda df, name: tables.append(name) or plain(df, name))
+    n, rows = 10_000, []
+    for name, last in (("chain", []), ("ring", [(n - 1, 0)])):
+        rows += [("t", name, f"S{a}", f"S{b}") for a, b in [*[(k, k + 1) for k in range(n - 1)], *last]]
+    rows += [("t", "ladder", f"S{k}", f"S{k + d}") for k in range(8) for d in (1, 2)]
+    rows += [("t", "tailed", f"S{a}", f"S{b}") for a, b in [*[(k, k + 1) for k in range(300)], (300, 290)]]
+    rows += [("t", "split", f"S{a}", f"S{b}") for a, b in [*[(k, k + 1) for k in range(90)], (10, 200), *[(k, k + 1) for k in range(200, 250)], (250, 90), (0, 90)]]
+    edges = spark.createDataFrame(rows, "test_id string, fsm_name string, from_state string, to_state string")
+    assert {r.fsm_name for r in machines.cyclic(edges).collect()} == {"ring", "tailed"}
+    assert len(tables) < 50
+
+
 def test_cycles_once_each(lines_of):
     lines = lines_of(*[f"[{i}] FSM m: {e}" for i, e in enumerate(["A -> A", "A -> B", "B -> A", "B -> C", "C -> A"])])
     found = machines.cycles(machines.transitions(parse.parse_fsm(lines))).collect()

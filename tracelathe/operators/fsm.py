@@ -74,23 +74,51 @@ def cycles(edges: DataFrame, max_length: int = MAX_CYCLE) -> DataFrame:
     return found.select(*FSM, F.size("states").alias("length"), F.array_join("states", "->").alias("cycle"))
 
 
+def _without_chains(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ways`` with every state of a single way out passed over, and the machines this shows to be cyclic.
+
+    Such states point to the next one; pointers jump twice as far from round to round, so a chain of n
+    states takes about log2(n) rounds.  A pointer that never leaves them goes round a cycle."""
+    outs = ways.groupBy(*FSM, "from_state").agg(F.count("*").alias("_n"), F.min("to_state").alias("to_state"))
+    jumps = materialize(outs.where("_n = 1").select(*FSM, "from_state", "to_state"), "jumps")
+    domain = jumps.select(*FSM, "from_state")
+    for _ in range(jumps.count().bit_length()):
+        further = jumps.select(*FSM, F.col("from_state").alias("to_state"), F.col("to_state").alias("_further"))
+        jumps = materialize(jumps.select(*FSM, "from_state", "to_state").join(further, [*FSM, "to_state"], "left")
+                            .select(*FSM, "from_state", F.coalesce("_further", "to_state").alias("to_state"), F.col("_further").isNotNull().alias("_moved")), "jumps")
+        if jumps.where("_moved").isEmpty():
+            break
+    ends = jumps.select(*FSM, F.col("from_state").alias("to_state"), F.col("to_state").alias("_end"))
+    circling = jumps.join(domain.withColumnRenamed("from_state", "to_state"), [*FSM, "to_state"], "left_semi").select(*FSM)
+    left = (ways.join(domain, [*FSM, "from_state"], "left_anti").join(ends, [*FSM, "to_state"], "left")
+            .select(*FSM, "from_state", F.coalesce("_end", "to_state").alias("to_state")).distinct())
+    left = materialize(left, "ways")
+    loops = materialize(circling.union(left.where("from_state = to_state").select(*FSM)).distinct(), "looped")
+    return left.join(loops, FSM, "left_anti"), loops
+
+
 def cyclic(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Machines with a cycle of any length.  States without a way in or out are taken away until
-    nothing changes: what is left holds cycles.  ``known`` machines need no look."""
-    left = edges.select(*FSM, "from_state", "to_state").where("from_state <> to_state")
+    nothing changes: what is left holds cycles.  In between chains are passed over, so that they don't cost a
+    round per state.  ``known`` machines need no look."""
+    left = edges.select(*FSM, "from_state", "to_state").where("from_state <> to_state").distinct()
     if known is not None:
         left = left.join(known.select(*FSM), FSM, "left_anti")
     left = materialize(left, "ways")
-    size = left.count()
+    loops = edges.where("from_state = to_state").select(*FSM)
+    size, rounds = left.count(), 0
     while size:
         entered = left.select(*FSM, F.col("to_state").alias("from_state")).distinct()
         exited = left.select(*FSM, F.col("from_state").alias("to_state")).distinct()
         left = materialize(left.join(entered, [*FSM, "from_state"], "left_semi")
                            .join(exited, [*FSM, "to_state"], "left_semi").select(*FSM, "from_state", "to_state"), "ways")
-        before, size = size, left.count()
+        before, size, rounds = size, left.count(), rounds + 1
         if size == before:
             break
-    loops = edges.where("from_state = to_state").select(*FSM)
+        if size and rounds > 1:  # small machines are done by now
+            left, found = _without_chains(left)
+            left, loops = materialize(left, "ways"), loops.union(found)
+            size = left.count()
     found = left.select(*FSM).union(loops)
     return (found if known is None else found.union(known.select(*FSM))).distinct()
 
