@@ -59,3 +59,45 @@ def test_equal_to_the_whole_text(spark, lines_of, chunk_lines):
 def test_lines_without_signs_are_left_alone(lines_of):
     lines = lines_of("[1] MEM_R [0x1] 32b a.b 0x5", "FSM pwr: IDLE -> RUN", "plain text")
     assert spanning.joined(lines) is lines
+
+
+def test_ingest_scans_the_text_once(spark, tmp_path, monkeypatch):
+    """One plan reads the text; accesses are typed behind the range shuffle; all marks share one as-of pass."""
+    from tracelathe.operators import carry
+    from tracelathe.plans import engine
+
+    (tmp_path / "trace.txt").write_text("\n".join(
+        f"[{i}] MEM_R [0x1] 32b r[{i}] 0x{i:x}\nFSM m: a -> b\nERROR: e{i}" for i in range(30)))
+    lines = spark.read.text(str(tmp_path)).selectExpr("'t' AS test_id", "monotonically_increasing_id() AS line_id", "value AS raw")
+    plans, real = {}, engine.materialize
+
+    def recording(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name)
+
+    for module in (engine, carry, spanning):
+        monkeypatch.setattr(module, "materialize", recording)
+    got = engine.parse_tables(lines, engine.Options(ts_source="record"))
+    assert list(plans) == ["records", "access", "marks", "fsm", "err"]
+    assert [name for name, plan in plans.items() if "Relation [value" in plan] == ["records"]
+    access = plans["access"].splitlines()
+    cut = next(i for i, line in enumerate(access) if "RepartitionByExpression" in line)
+    assert not any("split(" in line for line in access[cut:])
+    assert plans["marks"].count("Window [last(") == 2  # within chunks, and over their seams
+    assert [got[k].count() for k in ("access", "fsm", "err")] == [30, 30, 30]
+    assert {(r.message, r.ts_ns) for r in got["err"].collect()} == {(f"e{i}", i) for i in range(30)}
+    assert sorted(r[:] for r in got["access"].drop("tchunk").collect()) == sorted(r[:] for r in parse.parse_access(lines).collect())
+
+
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_ingest_of_broken_records(spark, lines_of, dedupe):
+    """Only lines of records that span them are matched anew, and each is found once."""
+    from tracelathe.plans import engine
+
+    lines = lines_of("[1] MEM_R [0x1] 32b a.b", "  0x5", "[2] MEM_W [0x1] 32b a.b 0x6", "Sleep State FSM", "transition: S0 -> S3",
+                     "FSM pwr: IDLE -> RUN", "UVM_ERROR :", "late")
+    got = engine.parse_tables(lines, engine.Options(dedupe_sleep=dedupe))
+    assert [(r.line_id, r.ts_ns, r.value_hex) for r in got["access"].orderBy("line_id").collect()] == [(0, 1, "0x5"), (2, 2, "0x6")]
+    want = [(3, "SleepStateFSM", 2), (5, "pwr", 2)] + [(3, "transition", 2)] * (not dedupe)
+    assert sorted((r.line_id, r.fsm_name, r.ts_ns) for r in got["fsm"].collect()) == sorted(want)
+    assert [(r.line_id, r.message, r.ts_ns) for r in got["err"].collect()] == [(6, "late", 2)]

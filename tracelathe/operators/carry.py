@@ -26,10 +26,14 @@ def log_chunks(df: DataFrame, lines: int = CHUNK_LINES, line="line_id") -> DataF
     return df.withColumn(CHUNK, F.expr(f"{line} div {lines}"))
 
 
-def range_chunks(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Cut by sorted ranges of ``order`` (group columns first); balanced whatever the keys hold."""
+def range_chunks(df: DataFrame, order: list[str], name: str, partitions: int | None = None, finish=None) -> DataFrame:
+    """Cut by sorted ranges of ``order`` (group columns first); balanced whatever the keys hold.
+
+    ``finish`` (DataFrame -> DataFrame, narrow, keeping ``chunk``) works on the rows behind the shuffle: what it adds is
+    neither sampled nor shuffled."""
     cut = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order))
-    return materialize(cut.withColumn(CHUNK, F.spark_partition_id().cast("bigint")), name)
+    cut = cut.withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
+    return materialize(finish(cut) if finish else cut, name)
 
 
 def _row(cols) -> Column:

@@ -22,28 +22,81 @@ STRIP = r"(?U)^\s+|\s+$"
 
 # Captured groups never hold a line feed, so it separates them safely.
 _FIELDS = 7
+#: Marks by kind: what their line holds at least, their pattern, its number of groups.
+MARKS = {"sleep": ("FSM", SLEEP, 2), "generic": ("FSM", GENERIC, 3), "error": ("ERROR", ERROR, 1)}
+MARK_TYPE = "array<struct<kind:string,pos:int,raw:string,own:string,after_sleep:boolean>>"
 
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
-def parse_access(lines: DataFrame) -> DataFrame:
-    """Every access record of every line; several may share a line (``pos`` counts them)."""
+def _hits(raw: Column, hint: str, pattern: str) -> Column:
+    """All matches of ``pattern`` on a line, in order; null where the line lacks ``hint``."""
+    return F.when(raw.contains(hint), F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)))
+
+
+def _last(text: Column | str, ts_source: str) -> Column:
+    """The last time in a text: of any bracketed integer, or of an access record only."""
+    if ts_source not in ("nearest", "record"):
+        raise ValueError(f"unknown ts_source {ts_source!r}")
+    pattern = LAST_RECORD_TIME if ts_source == "record" else LAST_BRACKETED
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def _marks(raw: Column, kind: str, ts_source: str) -> Column:
+    """Marks of one kind on a line: array of (kind, pos, raw, own: time before it on the line, after_sleep)."""
+    hint, pattern, _ = MARKS[kind]
+    gaps = F.regexp_extract_all(raw, F.lit("(?s)(.*?)" + pattern), F.lit(1))
+
+    def mark(hit, at):
+        hits = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0))
+        before = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), at), F.slice(hits, F.lit(1), at),
+                                                  lambda gap, one: F.concat(gap, one)), ""), F.element_at(gaps, at + 1))
+        return F.struct(F.lit(kind).alias("kind"), at.alias("pos"), hit.alias("raw"), _last(before, ts_source).alias("own"),
+                        before.rlike(r"(?U)Sleep\s+State\s+$").alias("after_sleep"))
+
+    return F.coalesce(F.transform(_hits(raw, hint, pattern), mark), F.array().cast(MARK_TYPE))
+
+
+def found(lines: DataFrame, ts_source="nearest", sign: Column | None = None, kinds: tuple[str, ...] = tuple(MARKS)) -> DataFrame:
+    """Everything the grammar finds, after one scan of the text: (test_id, line_id, access, marks, bracket, sign).
+
+    One row per line that holds any of it: the texts of its access records, its marks of ``kinds``, the last
+    time on it, and whether ``sign`` holds.  Store it to read the text once; each reader takes the columns it needs."""
+    raw = F.col("raw")
+    signed = F.lit(False) if sign is None else F.coalesce(sign, F.lit(False))
+    # Every access record and every time begins with a bracket.
+    holds = raw.contains("[") | raw.contains("FSM") | raw.contains("ERROR")
+    return lines.where(holds | signed).select(
+        "test_id", "line_id", _hits(raw, "MEM_", ACCESS).alias("access"),
+        F.concat(*[_marks(raw, kind, ts_source) for kind in kinds]).alias("marks"),
+        F.when(raw.contains("MEM_" if ts_source == "record" else "["), _last(raw, ts_source)).alias("bracket"),
+        signed.alias("sign"))
+
+
+def access_records(records: DataFrame) -> DataFrame:
+    """The access records of ``found`` by place and time only, their fields still in ``raw``."""
+    # Outer, so that Spark does not run the pattern once more to skip empty rows first.
+    return (records.select("test_id", "line_id", F.posexplode_outer("access").alias("pos", "raw")).where("pos is not null")
+            .withColumn("ts_ns", F.regexp_extract("raw", r"(?U)^\[(\d+)\]", 1).try_cast("bigint")))
+
+
+def typed_access(rows: DataFrame, *more: str) -> DataFrame:
+    """Fields of ``access_records``, with further columns kept."""
     groups = "\n".join(f"${i}" for i in range(1, _FIELDS + 1))
-    found = (lines.where(F.col("raw").contains("MEM_"))
-             .select("test_id", "line_id",
-                     # Outer, so that Spark does not run the pattern once more to skip empty rows first.
-                     F.posexplode_outer(F.regexp_extract_all("raw", F.lit(ACCESS), F.lit(0))).alias("pos", "raw"))
-             .where("pos is not null")
-             .withColumn("_g", F.split(F.regexp_replace("raw", ACCESS, groups), "\n", _FIELDS)))
+    split = rows.withColumn("_g", F.split(F.regexp_replace("raw", ACCESS, groups), "\n", _FIELDS))
     g = F.col("_g")
-    typed = found.select(
-        "test_id", "line_id", "pos",
-        F.expr("try_cast(_g[0] as bigint)").alias("ts_ns"), g[0].alias("ts_text"),
+    typed = split.select(
+        "test_id", "line_id", "pos", "ts_ns", g[0].alias("ts_text"),
         g[1].alias("action"), g[2].alias("address"), g[3].alias("size"),
-        _strip(g[4]).alias("descr"), g[5].alias("value_hex"), _strip(g[6]).alias("comment"), "raw")
-    return classify(typed).select(*ACCESS_COLUMNS)
+        _strip(g[4]).alias("descr"), g[5].alias("value_hex"), _strip(g[6]).alias("comment"), "raw", *more)
+    return classify(typed).select(*ACCESS_COLUMNS, *more)
+
+
+def parse_access(lines: DataFrame) -> DataFrame:
+    """Every access record of every line; several may share a line (``pos`` counts them)."""
+    return typed_access(access_records(found(lines.where(F.col("raw").contains("MEM_")))))
 
 
 def classify(access: DataFrame) -> DataFrame:
@@ -61,68 +114,54 @@ def classify(access: DataFrame) -> DataFrame:
     })
 
 
-def _matches(lines: DataFrame, hint: str, pattern: str, n_groups: int) -> DataFrame:
-    """Matches of ``pattern`` with their groups and the text before each on the same line."""
-    groups = "\n".join(f"${i}" for i in range(1, n_groups + 1))
-    lead_in = "(?s)(.*?)" + pattern
-    return (lines.where(F.col("raw").contains(hint))
-            .withColumn("_hits", F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)))
-            .select("test_id", "line_id", F.col("raw").alias("_line"), "_hits",
-                    F.posexplode_outer("_hits").alias("pos", "raw"))
-            .where("pos is not null")
-            .withColumn("_gaps", F.regexp_extract_all("_line", F.lit(lead_in), F.lit(1)))
-            .select("test_id", "line_id", "pos", "raw",
-                    F.split(F.regexp_replace("raw", pattern, groups), "\n", n_groups).alias("g"),
-                    F.concat(
-                        F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.col("pos")),
-                                                F.slice("_hits", F.lit(1), F.col("pos")),
-                                                lambda a, b: F.concat(a, b)), ""),
-                        F.element_at("_gaps", F.col("pos") + 1)).alias("before")))
-
-
-def stamp(marks: DataFrame, lines: DataFrame, ts_source="nearest",
-          chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """As-of join: give each mark the last bracketed integer before it in its run ("0" if none).
-
-    ``ts_source='nearest'`` takes any bracketed integer, array indexes included;
-    ``'record'`` takes only the time of an access record.  Of the other lines only ids and the
-    bracket travel through the shuffle, never the text.
+def stamped(records: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """As-of join: give each mark of ``found`` the last time before it in its run ("0" if none), in one pass for all kinds.
+
+    Of the other lines only ids and the time travel through the shuffle, never the text.
     """
-    if ts_source not in ("nearest", "record"):
-        raise ValueError(f"unknown ts_source {ts_source!r}")
-    record = ts_source == "record"
-    last = lambda text: F.nullif(F.regexp_extract(text, LAST_RECORD_TIME if record else LAST_BRACKETED, 1), F.lit(""))
-    stops = (lines.where(F.col("raw").contains("MEM_" if record else "["))
-             .select("test_id", "line_id", last("raw").alias("_ts"), F.lit(1).alias("_o")))
+    stops = records.where("bracket is not null").select(
+        "test_id", "line_id", F.lit(None).cast(MARK_TYPE[len("array<"):-1]).alias("mark"), F.col("bracket").alias("_ts"), F.lit(1).alias("_o"))
     # Marks sort before the bracket of their own line: it lies behind them, or they own it.
-    asks = marks.withColumns({"_own": last("before"), "_ts": F.lit(None).cast("string"), "_o": F.lit(0)})
-    both = carry.log_chunks(asks.drop("before").unionByName(stops, allowMissingColumns=True), chunk_lines)
-    known = carry.with_last_known(both, ["test_id"], ["line_id", "_o"], "_ts", "_seen").where("_o = 0")
-    return (known.withColumn("ts_text", F.coalesce("_own", "_seen", F.lit("0")))
+    asks = records.select("test_id", "line_id", F.explode_outer("marks").alias("mark"), F.lit(None).cast("string").alias("_ts"),
+                          F.lit(0).alias("_o")).where("mark is not null")
+    both = carry.log_chunks(asks.unionByName(stops), chunk_lines)
+    seen = carry.with_last_known(both, ["test_id"], ["line_id", "_o"], "_ts", "_seen").where("_o = 0")
+    return (seen.select("test_id", "line_id", "mark.*", F.coalesce("mark.own", "_seen", F.lit("0")).alias("ts_text"))
             .withColumn("ts_ns", F.expr("try_cast(ts_text as bigint)")))
 
 
-def parse_fsm(lines: DataFrame, dedupe_sleep=False, ts_source="nearest",
-              chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """State transitions.  A sleep-state line also reads as a generic one named ``transition``;
+def _groups(kind: str) -> Column:
+    _, pattern, n = MARKS[kind]
+    return F.split(F.regexp_replace("raw", pattern, "\n".join(f"${i}" for i in range(1, n + 1))), "\n", n)
+
+
+def transitions(marks: DataFrame, dedupe_sleep=False) -> DataFrame:
+    """State transitions among ``stamped`` marks.  A sleep-state line also reads as a generic one named ``transition``;
     both rows are kept unless ``dedupe_sleep``."""
+    rows = marks.where(F.col("kind").isin("sleep", "generic"))
+    rows = rows.withColumn("g", F.when(F.col("kind") == "sleep", F.concat(F.array(F.lit(SLEEP_FSM)), _groups("sleep"))).otherwise(_groups("generic")))
     g = F.col("g")
-    sleep = (_matches(lines, "FSM", SLEEP, 2)
-             .select("*", F.lit(SLEEP_FSM).alias("fsm_name"), g[0].alias("from_state"),
-                     g[1].alias("to_state"), F.lit("sleep").alias("kind")))
-    generic = (_matches(lines, "FSM", GENERIC, 3)
-               .select("*", g[0].alias("fsm_name"), g[1].alias("from_state"),
-                       g[2].alias("to_state"), F.lit("generic").alias("kind")))
+    rows = rows.withColumns({"fsm_name": g[0], "from_state": g[1], "to_state": g[2]})
     if dedupe_sleep:
-        generic = generic.where(~((F.col("fsm_name") == "transition")
-                                  & F.col("before").rlike(r"(?U)Sleep\s+State\s+$")))
-    marks = sleep.unionByName(generic).drop("g")
-    return stamp(marks, lines, ts_source, chunk_lines).select(*FSM_COLUMNS)
+        rows = rows.where(~((F.col("kind") == "generic") & (F.col("fsm_name") == "transition") & F.col("after_sleep")))
+    return rows.select(*FSM_COLUMNS)
+
+
+def messages(marks: DataFrame) -> DataFrame:
+    """Errors among ``stamped`` marks."""
+    return marks.where("kind = 'error'").withColumn("message", _groups("error")[0]).select(*ERR_COLUMNS)
+
+
+def parse_fsm(lines: DataFrame, dedupe_sleep=False, ts_source="nearest",
+              chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """State transitions with times (``transitions``), from lines.  ``ts_source='nearest'`` takes the last bracketed
+    integer before, array indexes included; ``'record'`` takes only the time of an access record."""
+    return transitions(stamped(found(lines, ts_source, kinds=("sleep", "generic")), chunk_lines), dedupe_sleep)
 
 
 def parse_errors(lines: DataFrame, ts_source="nearest", chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    marks = _matches(lines, "ERROR", ERROR, 1).withColumn("message", F.col("g")[0]).drop("g")
-    return stamp(marks, lines, ts_source, chunk_lines).select(*ERR_COLUMNS)
+    """Errors with times, from lines; ``ts_source`` as for ``parse_fsm``."""
+    return messages(stamped(found(lines, ts_source, kinds=("error",)), chunk_lines))
 
 
 def analysis_frame(access: DataFrame, fsm: DataFrame) -> DataFrame:

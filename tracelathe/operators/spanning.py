@@ -54,17 +54,16 @@ def _crossed() -> Column:
     return F.coalesce(after | met | value | name, F.lit(False))
 
 
-def joined(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """``lines`` (test_id, line_id, raw) with lines that may share a record as one: under the id of the first, with line
-    feeds between.  Blank lines between them are left out of it.
+def signs(raw: Column) -> Column:
+    """Whether a line may hold the open part, or the rest, of a record."""
+    return raw.rlike("|".join(f"(?:{p})" for p in [*ENDS.values(), *HEADS.values()]))
 
-    Reads ``lines`` more than once; store them first if they are costly to make.  A run of lines that may all
-    belong together becomes one row, however long."""
+
+def members(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame | None:
+    """Lines that may share a record: (test_id, line_id, first: id of the first of them), stored; None without any.
+
+    Worth calling where some line has ``signs``.  A run of lines that may all belong together has one ``first``."""
     raw = F.col("raw")
-    # One scan; nearly every line ends here.
-    signs = lines.where(raw.rlike("|".join(f"(?:{p})" for p in [*ENDS.values(), *HEADS.values()])))
-    if signs.isEmpty():
-        return lines
     codes = (lines.where(raw.rlike(r"(?U)\S")).select("test_id", "line_id", _code(raw, ENDS).alias("ends"), _code(raw, HEADS).alias("heads"),
                                                         _code(raw, BEFORE).alias("before")))
     codes = materialize(carry.log_chunks(codes, chunk_lines), "line-codes")
@@ -75,11 +74,34 @@ def joined(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     seen = seen.withColumn("older", F.col("prev.older")).withColumn("_crossed", _crossed())
     seen = materialize(seen.select("test_id", "line_id", carry.CHUNK, "_crossed", F.when(~F.col("_crossed"), F.col("line_id")).alias("_own")), "line-borders")
     if seen.where("_crossed").isEmpty():
-        return lines
+        return None
     blocks = carry.with_last_known(seen, ["test_id"], order, "_own", "_first").where("_crossed").select("test_id", "line_id", F.col("_first").alias("first"))
-    members = blocks.unionByName(blocks.select("test_id", F.col("first").alias("line_id"), "first").distinct())
-    members = materialize(members, "spanning")  # its size is known from here on: Spark broadcasts it only if small
-    texts = (lines.join(members, ["test_id", "line_id"]).groupBy("test_id", "first")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "raw"))), lambda x: x["raw"]), "\n").alias("raw")))
-    rest = lines.join(members.select("test_id", "line_id"), ["test_id", "line_id"], "left_anti")
-    return rest.select("test_id", "line_id", "raw").unionByName(texts.select("test_id", F.col("first").alias("line_id"), "raw"))
+    both = blocks.unionByName(blocks.select("test_id", F.col("first").alias("line_id"), "first").distinct())
+    return materialize(both, "spanning")  # its size is known from here on: Spark broadcasts it only if small
+
+
+def texts(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines of ``members`` as texts, under the id of the first, with line feeds between."""
+    return (lines.join(found, ["test_id", "line_id"]).groupBy("test_id", "first")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
+            .withColumnRenamed("first", "line_id"))
+
+
+def without(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of lines that are not among ``members``."""
+    return df.join(found.select("test_id", "line_id"), ["test_id", "line_id"], "left_anti")
+
+
+def joined(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """``lines`` (test_id, line_id, raw) with lines that may share a record as one: under the id of the first, with line
+    feeds between.  Blank lines between them are left out of it.
+
+    Reads ``lines`` more than once; store them first if they are costly to make.  A run of lines that may all
+    belong together becomes one row, however long."""
+    # One scan; nearly every line ends here.
+    if lines.where(signs(F.col("raw"))).isEmpty():
+        return lines
+    found = members(lines, chunk_lines)
+    if found is None:
+        return lines
+    return without(lines, found).select("test_id", "line_id", "raw").unionByName(texts(lines, found))

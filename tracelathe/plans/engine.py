@@ -27,12 +27,21 @@ class Options:
 
 def parse_tables(lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
     """Typed tables, written once.  Accesses are range-sorted by run and time on the way, and keep
-    the cut (``tchunk``) that all time-ordered operators work along.  Records may span lines."""
-    lines = spanning.joined(lines)
-    cut = carry.range_chunks(parse.parse_access(lines), ["test_id", *carry.TIME_ORDER], "access")
-    fsm = materialize(parse.parse_fsm(lines, options.dedupe_sleep, options.ts_source), "fsm")
-    err = materialize(parse.parse_errors(lines, options.ts_source), "err")
-    return {"access": cut.withColumnRenamed(carry.CHUNK, "tchunk"), "fsm": fsm, "err": err}
+    the cut (``tchunk``) that all time-ordered operators work along.
+
+    The text is scanned once, into a table of what each line holds; it is read again only where lines bear
+    signs of records that span them, and only the lines of such records are matched anew."""
+    records = materialize(parse.found(lines, options.ts_source, spanning.signs(F.col("raw"))), "records")
+    if not records.where("sign").isEmpty():
+        shared = spanning.members(lines)
+        if shared is not None:
+            anew = materialize(parse.found(spanning.texts(lines, shared), options.ts_source), "records")
+            records = spanning.without(records, shared).unionByName(anew)
+    access = carry.range_chunks(parse.access_records(records), ["test_id", *carry.TIME_ORDER], "access",
+                                finish=lambda cut: parse.typed_access(cut.withColumnRenamed(carry.CHUNK, "tchunk"), "tchunk"))
+    marks = materialize(parse.stamped(records), "marks")
+    return {"access": access, "fsm": materialize(parse.transitions(marks, options.dedupe_sleep), "fsm"),
+            "err": materialize(parse.messages(marks), "err")}
 
 
 def analyse(runs: DataFrame, lines: DataFrame, options: Options = Options(),
