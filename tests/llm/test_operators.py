@@ -255,7 +255,7 @@ def test_mixed_documents_of_long_documents(spark):
 
 def test_edited_likeness(corners, empty):
     short = corners.filter("doc_id <> 9").select("doc_id", "text")
-    got = {r["doc_id"]: r for r in simhash.edited_likeness(short, bucket_bytes=4000).collect()}
+    got = {r["doc_id"]: r for r in simhash.edited_likeness(short, partitions=7).collect()}
     rows = sorted(((d, t or "") for d, t in CORNERS if d != 9), reverse=True)
     for k, (d, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -268,6 +268,25 @@ def test_edited_likeness(corners, empty):
     assert simhash.edited_likeness(short.limit(1)).count() == 1
 
 
+def test_edited_likeness_of_ties_and_nulls(spark, monkeypatch):
+    """Ranges of single rows cut anywhere: among rows of one id, null ids, identical rows in blocks of any size."""
+    monkeypatch.setattr(simhash, "_COPIES", 3)
+    rnd = random.Random(21)
+    rows = [(rnd.choice([None, 7, 7, rnd.randrange(40)]), " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(12))) or None) for _ in range(80)]
+    rows += [(7, "same text here")] * 9 + [(None, "same text here")] * 4 + [(None, None)] * 3 + [(-2**63, "least"), (2**63 - 1, "most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {n: sorted(((r["doc_id"] is not None, r["doc_id"] or 0, *r[1:]) for r in simhash.edited_likeness(df, partitions=n).collect())) for n in (1, 1000)}
+    assert got[1] == got[1000] and len(got[1]) == len(rows)
+    hashed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') AS text").selectExpr(
+        "doc_id", "text", "xxhash64(text) AS h1", "xxhash64(1, text) AS h2").collect()
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h1"], r["h2"], r["text"]) for r in hashed), reverse=True)
+    want = []
+    for k, (some, key, _, _, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][4], len(t) // 3
+        want.append((some, key, len(t), digest((t[:len(t) - n] + after[:n]).encode())))
+    assert [r[:4] for r in got[1]] == sorted(want)
+
+
 def test_fingerprints_part_words_at_all_white_space(spark):
     rnd = random.Random(11)
     words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]

@@ -15,13 +15,16 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelathe.llm.common import SPACES
+from tracelathe.llm.common import SPACES, materialize
+from tracelathe.operators import carry
 
 #: Four counters of 16 bits in one BIGINT; a chunk of this many terms fills none of them.
 _LANES, _CHUNK = (1 << 48) | (1 << 32) | (1 << 16) | 1, 1 << 14
+#: Identical rows given out together.
+_COPIES = 1 << 16
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -81,55 +84,70 @@ def count_within(prints: DataFrame, queries: DataFrame, radius: int = 3, column:
     return found.groupBy("query").agg(F.sum("__n").alias("n_within")).withColumnRenamed("query", column)
 
 
-def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 1 << 23, most_buckets: int = 4096) -> DataFrame:
-    """Rows in descending order of ``doc_id`` with the next row's text: bucket, rn (place in the bucket), guest,
-    doc_id, text, next_text.  The row after the last is the first.
+#: What names a row up to identical ones, in the order of ids: null ids first, ties by the text's hash.
+_KEYS = ["some", "key", "h1", "h2"]
 
-    Buckets are ranges of ids (quantiles); the first row of the bucket below stands as a guest behind
-    the last row of each bucket, so no order over all rows is needed in one task.  Ties of ids are
-    ordered by text, null ids come last, null texts are empty."""
+
+def _named(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows with their names (``_KEYS``), doc_id (BIGINT) and text (null: empty)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
-    n = max(1, min(most_buckets, size // bucket_bytes))
-    bounds = docs.agg(F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 100 * n)).head()[0] or []
-    bounds = sorted(set(bounds)) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    docs = docs.withColumn("bucket", bucket)
-    heads = sorted((r["bucket"], r["head"]) for r in docs.select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("head")).collect())
-    if heads:  # at most `most_buckets` numbers
-        host = [(head, heads[(k + 1) % len(heads)][0]) for k, (_, head) in enumerate(heads)]
-        guests = (docs.filter(F.col("key").isin([h for h, _ in host]))
-                  .withColumn("bucket", F.element_at(F.create_map(*[F.lit(x) for pair in host for x in pair]), F.col("key"))))
-        docs = docs.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    else:
-        docs = docs.withColumn("guest", F.lit(False))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("key").desc(), "text")
-    return (docs.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-            .withColumn("first_guest", F.col("guest") & ~F.coalesce(F.lag("guest").over(order), F.lit(False)))
-            .filter("NOT guest OR first_guest").drop("first_guest", "key"))
+    return docs.select(F.col("doc_id").isNotNull().cast("int").alias("some"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"),
+                       F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "doc_id", "text")
+
+
+def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """Which row follows each, in descending order of ``doc_id``: some, key, h1, h2 (the row), next (these of the row
+    after), n (rows identical to it), n_chars, stored as a table.  One row per distinct (id, text); the row after the last is the first.
+
+    Only ids and hashes are ordered, by ranges cut anew as the table grows (``partitions`` fixes their number), and a row per range
+    carries its neighbour over the seam: no range, and no number of them, is a bound.  Identical rows are counted first; of
+    them all but the last are followed by their own text.  Rows of one id, or of null ids (which come last), are ordered by two
+    64-bit hashes of their texts, so that ranges may cut among them."""
+    rows = _named(df, doc_id, text).groupBy(*_KEYS).agg(F.count("*").alias("n"), F.max(F.char_length("text")).alias("n_chars"))
+    cut = carry.range_chunks(rows.withColumn("all", F.lit(0)), _KEYS, "id-order", partitions)
+    # Going up, the row before is the one that follows going down.
+    seen = carry.with_previous(cut, ["all"], _KEYS, _KEYS, out="next")
+    top = cut.agg(F.max(F.struct(*_KEYS)).alias("top")).head()["top"]
+    if top is not None:
+        seen = seen.withColumn("next", F.coalesce("next", F.struct(*[F.lit(top[k]).cast(rows.schema[k].dataType).alias(k) for k in _KEYS])))
+    return materialize(seen.select(*_KEYS, "next", "n", "n_chars"), "next-ids")
 
 
 def edited_likeness(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **order) -> DataFrame:
     """Per row of ``df``: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (BIGINT), near_edited, near_next.
 
     The edited text is the text with its last third (rounded down) replaced by the first as many
-    characters of the next row's text.  Null texts are empty; repeated rows are rows of their own;
-    a lone row is its own next; an empty table gives an empty table."""
-    n = F.char_length("text")
-    part = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", 1, n - part), F.substring("next_text", F.lit(1), part))
-    rows = with_next(df, doc_id, text, **order).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    both = rows.select("bucket", "rn", "guest", "doc_id", "n_chars", F.when(~F.col("guest"), F.sha2("edited", 256)).alias("edited_sha256"),
-                       F.inline(F.when(F.col("guest"), F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body"))))
-                                .otherwise(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")),
-                                                   F.struct(F.lit(1).alias("which"), F.col("edited").alias("body"))))))
-    keys = ["bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256"]
-    prints = fingerprints(both, [*keys, "which"], "body")
-    one = prints.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
-                                    F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn"))
-    return (one.withColumn("next_fingerprint", after).filter("NOT guest")
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                    likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-                    likeness("fingerprint", "next_fingerprint").alias("near_next")))
+    characters of the next row's text.  Null texts are empty; repeated rows are rows of their own, each the next of the one
+    before; null ids come last and stay null; a lone row is its own next; an empty table gives an empty table.
+
+    Each distinct row's text is shuffled once, and from it only the part that goes into its predecessor's edited text."""
+    links = with_next(df, doc_id, text, **order)
+    texts = _named(df, doc_id, text).groupBy(*_KEYS).agg(F.first("text").alias("text"))
+    # What a row lends to the one before it.
+    lent = (links.select(*[F.col(k).alias(f"for_{k}") for k in _KEYS], *[F.col(f"next.{k}").alias(k) for k in _KEYS], "n_chars")
+            .join(texts.hint("merge"), _KEYS)
+            .select(*[F.col(f"for_{k}").alias(k) for k in _KEYS], F.substring("text", F.lit(1), F.expr("CAST(n_chars DIV 3 AS INT)")).alias("head")))
+    rows = texts.hint("merge").join(links, _KEYS).join(lent.hint("merge"), _KEYS)
+    kept = F.substring(F.col("text"), F.lit(1), F.expr("n_chars - CAST(n_chars DIV 3 AS INT)"))
+    own = F.concat(kept, F.substring("text", F.lit(1), F.expr("CAST(n_chars DIV 3 AS INT)")))
+    body = lambda which, c: F.struct(F.lit(which).alias("which"), c.alias("body"), F.sha2(c, 256).alias("sha"))
+    bodies = F.array(body(0, F.col("text")), body(1, F.concat(kept, "head")))
+    both = rows.select(*_KEYS, "next", "n", "n_chars", F.inline(F.when(F.col("n") > 1, F.array_append(bodies, body(2, own))).otherwise(bodies)))
+    held = [*_KEYS, "next", "n", "n_chars"]
+    prints = fingerprints(both, [*held, "which", "sha"], "body")
+    of = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    one = materialize(prints.groupBy(*held).agg(
+        of(0, "fingerprint").alias("fingerprint"), *[of(w, c).alias(f"{c}{w}") for w in (1, 2) for c in ("fingerprint", "sha")]), "row-prints")
+    after = one.select(*[F.col(k).alias(f"next_{k}") for k in _KEYS], F.col("fingerprint").alias("next_fingerprint"))
+    last = one.join(after, [F.col(f"next.{k}") == F.col(f"next_{k}") for k in _KEYS])
+    # Of n identical rows the last is followed by the next row, the others by their like: in blocks, dealt to tasks, however many.
+    blocks = one.filter("n > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 2) DIV {_COPIES}"))))
+    size = F.least(F.lit(_COPIES).cast("long"), F.col("n") - 1 - F.col("block") * _COPIES).cast("int")
+    likes = blocks.repartition(*_KEYS, "block").withColumn("copy", F.explode(F.array_repeat(F.lit(True), size)))
+
+    def told(rows: DataFrame, which: int, beside: str) -> DataFrame:
+        return rows.select(F.when(F.col("some") == 1, F.col("key")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),
+                           F.col(f"sha{which}").alias("edited_sha256"), "fingerprint", F.col(f"fingerprint{which}").alias("edited_fingerprint"),
+                           likeness("fingerprint", f"fingerprint{which}").alias("near_edited"), likeness("fingerprint", beside).alias("near_next"))
+
+    return told(last, 1, "next_fingerprint").unionByName(told(likes, 2, "fingerprint"))
