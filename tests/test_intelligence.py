@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,3 +209,30 @@ def test_values_off_a_constant_are_reported_first(spark):
     assert {(r.test_id, r.register) for r in signed.collect()} == {("f", "fixed"), ("g", "fixed")}
     report = triage.triage_report(triage.failure_buckets(signed), signed, dev).orderBy("rank").collect()
     assert [(r["test_id"], r["entity"], r["value"]) for r in report] == [("f", "fixed", 9.0), ("g", "fixed", 4.0), ("f", "varies", 50.0)]
+
+
+def _plain_vocabulary(texts, cap):
+    counts = Counter()
+    for words in texts:
+        for size in (1, 2, 3):
+            counts.update(" ".join(words[i:i + size]) for i in range(len(words) - size + 1))
+    return sorted(counts, key=lambda t: (-counts[t], t))[:cap]
+
+
+@pytest.mark.parametrize("cap, broadcast", [(4, None), (9, None), (9, 0), (60, None)])
+def test_vocabulary_pruned_by_word_counts(spark, monkeypatch, cap, broadcast):
+    """Frequent grams, ties at the floor, a word repeated side by side, empty and null texts; too few words, too many to broadcast."""
+    if broadcast is not None:
+        monkeypatch.setattr(text, "BROADCAST_WORDS", broadcast)
+    draw = random.Random(5)
+    texts = [draw.choices(["alpha", "beta", "gamma", "delta", "kappa", *(f"rare{i}" for i in range(12))],
+                          weights=[9, 7, 5, 5, 5] + [1] * 12, k=draw.randrange(12)) for _ in range(30)] + [["alpha"] * 9]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(90, None), (91, "")]
+    got = text.document_tfidf(spark.createDataFrame(rows, "id long, body string"), "id", "body", cap)
+    assert {r.term for r in got.collect()} == set(_plain_vocabulary(texts, cap))
+
+
+def test_frequent_words_keep_ties(spark):
+    words = spark.createDataFrame([("aa", 9), ("bb", 5), ("cc", 5), ("dd", 4)], "term string, n long")
+    assert {r.term for r in text.frequent_words(words, 2).collect()} == {"aa", "bb", "cc"}
+    assert text.frequent_words(words, 5) is None

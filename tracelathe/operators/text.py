@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tracelathe.operators import carry
 from tracelathe.schema import CORPUS_VOCABULARY, RUN_VOCABULARY, TOP_REGISTERS, TOP_TERMS
+from tracelathe.session import materialize
+
+# Words that may be broadcast to tell which grams are worth counting: at most so many, of so many bytes together.
+BROADCAST_WORDS, BROADCAST_BYTES = 200_000, 8 << 20
 
 # Fixed value: words are runs of two or more letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -23,11 +27,17 @@ def word_tokens(text: Column, stop: list[str]) -> Column:
                     lambda w: ~w.isin(stop))
 
 
-def grams(docs: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """(keys, term): one row per 1- to 3-gram of a token array, joined by single spaces."""
+def grams(docs: DataFrame, keys: list[str], tokens: Column, words: DataFrame | None = None) -> DataFrame:
+    """(keys, term): one row per 1- to 3-gram of a token array, joined by single spaces; with ``words``
+    (term, few enough to broadcast) only grams made of these."""
     t = F.col("_t")
     at = F.explode(F.arrays_zip(t.alias("a"), F.slice(t, 2, 1 << 30).alias("b"), F.slice(t, 3, 1 << 30).alias("c")))
     three = docs.select(*keys, tokens.alias("_t")).select(*keys, at.alias("_g")).select(*keys, "_g.*")
+    if words is not None:
+        for c, how in (("a", "inner"), ("b", "left"), ("c", "left")):
+            known = F.broadcast(words.select(F.col("term").alias(f"_{c}")))
+            three = three.join(known, F.col(c) == F.col(f"_{c}"), how)
+        three = three.select(*keys, "a", F.col("_b").alias("b"), F.col("_c").alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     # Slices end early; the tokens missing there are null, and so are the grams.
     listed = F.array(a, F.concat(a, F.lit(" "), b), F.concat(a, F.lit(" "), b, F.lit(" "), c))
@@ -58,14 +68,31 @@ def tfidf(counted: DataFrame, sizes: DataFrame, corpus: list[str], doc: list[str
                     (F.col("_e._w") / F.col("_norm")).alias("weight")))
 
 
+def frequent_words(words: DataFrame, cap: int) -> DataFrame | None:
+    """Words (term) that a gram among the ``cap`` most frequent can hold, out of all (term, n); None where there
+    are fewer words than ``cap`` or too many of these to broadcast.
+
+    A gram is never more frequent than its rarest word, and ``cap`` words alone are as frequent as the last of
+    the ``cap`` best words: grams with a rarer word are out.  Words that tie with the last one stay.
+    """
+    best = words.orderBy(F.desc("n")).limit(cap).agg(F.count("*").alias("k"), F.min("n").alias("least")).first()
+    if best.k < cap or not cap:
+        return None
+    kept = words.where(F.col("n") >= best.least)
+    size = kept.agg(F.count("*").alias("k"), F.sum(F.octet_length("term")).alias("bytes")).first()
+    return kept.select("term") if size.k <= BROADCAST_WORDS and size.bytes <= BROADCAST_BYTES else None
+
+
 def document_tfidf(docs: DataFrame, doc: str, text: str, cap: int = CORPUS_VOCABULARY) -> DataFrame:
     """TF-IDF of free texts against their whole corpus: (doc, term, weight).
 
-    Grams are counted over the corpus first; only those of the vocabulary (at most ``cap`` rows,
-    so it is broadcast) are then shuffled by document.
+    Words are counted over the corpus first, then the grams that the words' counts leave in question; only those
+    of the vocabulary (at most ``cap`` rows, so it is broadcast) are then shuffled by document.
     """
     tokens = word_tokens(F.col(text), stop_words(docs.sparkSession))
-    found = grams(docs, [doc], tokens)
+    words = materialize(docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n")),
+                        "word-counts")
+    found = grams(docs, [doc], tokens, frequent_words(words, cap))
     vocab = (found.groupBy("term").agg(F.count("*").alias("n"))
              .orderBy(F.desc("n"), F.asc("term")).limit(cap).select("term"))
     counted = found.join(F.broadcast(vocab), "term").groupBy(doc, "term").agg(F.count("*").alias("tf"))
