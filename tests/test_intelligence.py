@@ -236,3 +236,14 @@ def test_frequent_words_keep_ties(spark):
     words = spark.createDataFrame([("aa", 9), ("bb", 5), ("cc", 5), ("dd", 4)], "term string, n long")
     assert {r.term for r in text.frequent_words(words, 2).collect()} == {"aa", "bb", "cc"}
     assert text.frequent_words(words, 5) is None
+
+
+def test_corpus_clusters_join_runs(access_of):
+    """Registers of two runs at the same places, alike over both; neither run alone holds five neighbours."""
+    def run(name):
+        rows = [(name, 1000 * k, "R", f"core.r{i}", 7) for k in range(4) for i in range(3)]
+        return access_of(rows + [(name, 90_000 * k, "W", "core.odd" + name, 10 ** 6 * k) for k in range(9) if name == "a"])
+    access = run("a").unionByName(run("b"))
+    got = {(r.test_id, r.descr, r.cluster_id) for r in evidence.corpus_clusters(access).collect()}
+    assert got == {(t, f"core.r{i}", 0) for t in "ab" for i in range(3)}
+    assert not evidence.access_clusters(access).count()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelathe.functions.exprs import box_gap, box_span, squared_distance
 from tracelathe.operators import carry
@@ -113,8 +113,10 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
     boxes = _boxes(core, keys, n_dims, F.min("id").alias("id"))
     edges = _edges(core, boxes, near, keys, limit, n_dims)
     labels = _components(boxes, edges, keys)
-    numbers = (labels.select(*keys, "label").distinct()
-               .withColumn("cluster_id", (F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)))
+    # Numbered in ranges: one group may hold any number of clusters.
+    heads = carry.range_chunks(labels.select(*keys, "label").distinct().withColumn("_one", F.lit(1)), [*keys, "label"], "cluster-heads")
+    numbers = (carry.with_running(heads, keys, ["label"], "_one", "_no")
+               .select(*keys, "label", (F.col("_no") - 1).cast("int").alias("cluster_id")))
     numbered = carry.salted_join(labels, numbers, [*keys, "label"], ["cell"]).select(*keys, "cell", "cluster_id")
 
     inner = core.join(numbered, [*keys, "cell"]).select(*keys, "id", "cluster_id")

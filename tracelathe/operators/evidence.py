@@ -26,6 +26,19 @@ def access_clusters(access: DataFrame) -> DataFrame:
     return density_clusters(standardise(access_vectors(access), ACCESS_DIMS), ACCESS_DIMS, grid=ACCESS_GRID)
 
 
+def corpus_clusters(access: DataFrame) -> DataFrame:
+    """Registers of all runs with similar access vectors: (test_id, descr, first_at, cluster_id), no noise.
+
+    The runs are one group here: vectors are scaled over all of them.  Registers of several runs may first appear
+    at the same place, so they are told apart, and clusters numbered, by place and then by run and name.
+    """
+    vectors = access_vectors(access).withColumns({
+        "corpus": F.lit(True), "register": F.struct("test_id", "descr"), "at": F.struct("first_at", "test_id", "descr")})
+    scaled = standardise(vectors, ACCESS_DIMS, ["corpus"], ["test_id", "descr"])
+    found = density_clusters(scaled, ACCESS_DIMS, ["corpus"], "at", "register", grid=ACCESS_GRID)
+    return found.select("register.*", F.col("at.first_at").alias("first_at"), "cluster_id")
+
+
 def register_anomalies(access: DataFrame) -> DataFrame:
     scaled = materialize(standardise(value_vectors(access), VALUE_DIMS), "value-vectors")
     return flag_anomalies(scaled, ["test_id"], ["descr"], VALUE_DIMS)

@@ -364,6 +364,12 @@ def access_clusters(spark, sf):
     return _clusters(spark, sf)
 
 
+@query("test_id:s descr:s cluster_id:i")
+def corpus_clusters(spark, sf):
+    """Registers of all runs that behave alike, at the operator's own radius."""
+    return evidence.corpus_clusters(_access(spark, sf)).select("test_id", "descr", "cluster_id")
+
+
 @query("test_id:s descr:s mean:f3 std:f3 min:f3 max:f3 range:f3 entropy:f6 n:i")
 def value_vectors(spark, sf):
     return registers.value_vectors(_access(spark, sf))

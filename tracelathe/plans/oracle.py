@@ -10,7 +10,7 @@ import pyspark
 
 from tracelathe.plans.catalog import QUERIES, QUERY_EPS
 from tracelathe.plans.views import BURST_GAP_NS, CONTEXT_NS
-from tracelathe.schema import PIECE
+from tracelathe.schema import EPS, PIECE
 
 _TYPES = {"s": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN"}
 
@@ -207,8 +207,12 @@ _SCALE = ", ".join(f"({d} - avg({d}) OVER p) / CASE WHEN stddev_pop({d}) OVER p
                    for d in DIMS)
 SCALED = f"{VECTORS}, sv AS (SELECT test_id, descr, first_at, {_SCALE} FROM vec WINDOW p AS (PARTITION BY test_id))"
 _DIST = " + ".join(f"(a.{d} - b.{d}) * (a.{d} - b.{d})" for d in DIMS)
-CLUSTERS = f"""WITH RECURSIVE {SCALED}, nb AS MATERIALIZED (SELECT a.test_id, a.first_at AS a, b.first_at AS b FROM sv a
-  JOIN sv b ON a.test_id = b.test_id AND {_DIST} <= {QUERY_EPS * QUERY_EPS}),
+
+
+def _clusters(scaled: str, eps: float, columns: str) -> str:
+    """Density clusters of ``sv`` within each test_id: neighbours, core points, what these reach, the earliest one of it."""
+    return f"""WITH RECURSIVE {scaled}, nb AS MATERIALIZED (SELECT a.test_id, a.first_at AS a, b.first_at AS b FROM sv a
+  JOIN sv b ON a.test_id = b.test_id AND {_DIST} <= {eps * eps}),
  core AS MATERIALIZED (SELECT test_id, a FROM nb GROUP BY test_id, a HAVING count(*) >= 5),
  ce AS MATERIALIZED (SELECT nb.* FROM nb JOIN core x ON x.test_id = nb.test_id AND x.a = nb.a JOIN core y ON y.test_id = nb.test_id
   AND y.a = nb.b),
@@ -219,7 +223,13 @@ CLUSTERS = f"""WITH RECURSIVE {SCALED}, nb AS MATERIALIZED (SELECT a.test_id, a.
  lab AS (SELECT nb.test_id, nb.a, coalesce(min(own.cluster_id), min(num.cluster_id)) AS cluster_id FROM nb
   JOIN num ON num.test_id = nb.test_id AND num.a = nb.b
   LEFT JOIN num own ON own.test_id = nb.test_id AND own.a = nb.a GROUP BY nb.test_id, nb.a)
-SELECT sv.test_id, sv.descr, sv.first_at, cluster_id FROM lab JOIN sv ON sv.test_id = lab.test_id AND sv.first_at = lab.a"""
+SELECT {columns}, cluster_id FROM lab JOIN sv ON sv.test_id = lab.test_id AND sv.first_at = lab.a"""
+
+
+CLUSTERS = _clusters(SCALED, QUERY_EPS, "sv.test_id, sv.descr, sv.first_at")
+# All runs as one group, at the operator's own radius.
+CORPUS_SCALED = f"{VECTORS}, sv AS (SELECT 'all' AS test_id, test_id AS run, descr, first_at, {_SCALE} FROM vec WINDOW p AS ())"
+CORPUS_CLUSTERS = _clusters(CORPUS_SCALED, EPS, "sv.run AS test_id, sv.descr")
 VALUE_VECTORS = f"""WITH {ACC}, st AS (SELECT test_id, descr, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min,
   max(value) AS max, max(value) - min(value) AS range, count(*) AS n FROM acc GROUP BY test_id, descr HAVING count(*) >= 3),
  r AS (SELECT test_id, descr, value, min AS lo, max AS hi, (CAST(max AS DOUBLE) - min) / 10 AS step, CASE WHEN max > min THEN
@@ -362,7 +372,8 @@ def bodies() -> dict[str, str]:
                           " sizes AS (SELECT 0 AS c, count(*) AS n_docs FROM docs),"
                           f" {_weights('c', 'test_id', 500)} SELECT * FROM weights",
         "access_vectors": f"WITH {VECTORS} SELECT * FROM vec", "scaled_vectors": f"WITH {SCALED} SELECT * FROM sv",
-        "access_clusters": CLUSTERS, "value_vectors": VALUE_VECTORS, "value_entropy": VALUE_VECTORS,
+        "access_clusters": CLUSTERS, "corpus_clusters": CORPUS_CLUSTERS,
+        "value_vectors": VALUE_VECTORS, "value_entropy": VALUE_VECTORS,
         "register_importance": _importance(),
         "corpus_importance": f"SELECT descr, max(importance) AS importance FROM ({_importance()}) GROUP BY descr",
         "importance_tags": f"WITH {ACC} SELECT acc.*, importance AS ai_importance FROM acc LEFT JOIN ({_importance()}) i USING (test_id, descr)",
