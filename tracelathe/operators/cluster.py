@@ -17,6 +17,9 @@ from tracelathe.operators import carry
 from tracelathe.schema import EPS, MIN_POINTS
 from tracelathe.session import materialize, spread
 
+# Cells of a group that are paired without a grid: fewer pairs than the steps of a grid would make.
+FEW_CELLS = 64
+
 
 def _boxes(sites: DataFrame, keys: list[str], n_dims: int, *extra) -> DataFrame:
     return sites.groupBy(*keys, "cell").agg(
@@ -28,22 +31,35 @@ def _as(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys])
 
 
-def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float, n: int) -> DataFrame:
+def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float, n: int, side: float) -> DataFrame:
     """Pairs of cells (both ways, self included) whose boxes come within the radius.
 
-    Coarse cells span three fine ones: neighbours differ by at most one coarse step per dimension.
+    Coarse cells span three fine ones: neighbours differ by at most one coarse step per dimension.  A cell asks only
+    those around it that reach into its radius, and of each two opposite ones only one.  A group of few cells is
+    one coarse cell.
     """
-    coarse = [F.floor(F.col("cell")[i] / 3).cast("bigint") for i in grid]
-    around = [F.explode(F.array(*[F.lit(s) for s in (-1, 0, 1)])) for _ in grid]
-    a = _as(cells.select(*keys, "cell", "lo", "hi", *[c.alias(f"g{j}") for j, c in enumerate(coarse)]),
-            keys, "a")
-    for j, e in enumerate(around):
-        a = a.withColumn(f"_s{j}", e).withColumn(f"g{j}", F.col(f"g{j}_a") + F.col(f"_s{j}"))
-    b = (_as(cells.select(*keys, "cell", "lo", "hi"), keys, "b")
-         .withColumns({f"g{j}": F.floor(F.col("cell_b")[i] / 3).cast("bigint") for j, i in enumerate(grid)}))
-    return (a.join(b, [*keys, *[f"g{j}" for j in range(len(grid))]])
-            .where(box_gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), n) <= limit)
-            .select(*keys, "cell_a", "cell_b"))
+    cells = carry.salted_join(cells, cells.groupBy(*keys).agg((F.count("*") <= FEW_CELLS).alias("few")), keys, ["cell"])
+    cells = cells.select(*keys, "cell", "lo", "hi", "few", *[
+        F.when(F.col("few"), 0).otherwise(F.floor(F.get("cell", F.lit(i)) / 3)).cast("bigint").alias(f"g{j}") for j, i in enumerate(grid)])
+    a = cells.withColumns({"_ahead": F.lit(False), "_gap": F.lit(0.0)})
+    width = 3 * side
+    for j, i in enumerate(grid):
+        steps = F.when(F.col("few"), F.array(F.lit(0))).when(F.col("_ahead"), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+        lo, hi, g = F.get("lo", F.lit(i)), F.get("hi", F.lit(i)), F.col(f"g{j}")
+        # Rounding moves a border by far less than this.
+        slack = (F.abs(lo) + F.abs(hi)) * 1e-12
+        gap = F.greatest(g * width - hi - slack, lo - (g + 1) * width - slack, F.lit(0.0))
+        a = (a.withColumn("_s", F.explode(steps)).withColumn(f"g{j}", g + F.col("_s"))
+             .withColumns({"_ahead": F.col("_ahead") | (F.col("_s") > 0), "_gap": F.when(F.col("few"), 0.0).otherwise(F.col("_gap") + gap * gap)})
+             .where(F.col("_gap") <= limit * (1 + 1e-9)).drop("_s"))
+    places = [f"g{j}" for j in range(len(grid))]
+    a = a.select(*keys, *places, "_ahead", *[F.col(c).alias(f"{c}_a") for c in ("cell", "lo", "hi")])
+    b = cells.select(*keys, *places, *[F.col(c).alias(f"{c}_b") for c in ("cell", "lo", "hi")])
+    pairs = (a.join(b, [*keys, *places]).where(F.col("_ahead") | (F.col("cell_a") <= F.col("cell_b")))
+             .where(box_gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), n) <= limit))
+    ends = lambda x, y: F.struct(F.col(x).alias("cell_a"), F.col(y).alias("cell_b"))
+    both = F.when(F.col("cell_a") == F.col("cell_b"), F.array(ends("cell_a", "cell_b"))).otherwise(F.array(ends("cell_a", "cell_b"), ends("cell_b", "cell_a")))
+    return pairs.select(*keys, F.explode(both).alias("_p")).select(*keys, "_p.*")
 
 
 def _probe(sites: DataFrame, near: DataFrame, boxes: DataFrame, keys: list[str], limit: float, n: int) -> DataFrame:
@@ -92,7 +108,7 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
         rows.groupBy(*keys, "v").agg(F.count("*").alias("w"), F.min("id").alias("id"))
         .withColumn("cell", F.transform("v", lambda x: F.floor(x / side).cast("bigint"))), "sites"))
     cells = spread(materialize(_boxes(sites, keys, n_dims, F.sum("w").alias("w")), "cells"))
-    near = spread(materialize(_near_cells(cells, keys, grid, limit, n_dims), "near-cells"))
+    near = spread(materialize(_near_cells(cells, keys, grid, limit, n_dims, side), "near-cells"))
 
     dense = cells.where(F.col("w") >= min_points).select(*keys, "cell")
     sparse = sites.join(cells.where(F.col("w") < min_points).select(*keys, "cell"), [*keys, "cell"])

@@ -16,8 +16,8 @@ from tracelathe.schema import (ARRAY_IMPORTANCE, ARRAY_REASON, CLUSTER_IMPORTANC
                                SEQUENCE_REASON, TERM_REASON)
 from tracelathe.session import materialize
 
-# Dimensions of the access vector the neighbour grid uses: reads, mean value, read gap.
-ACCESS_GRID = [0, 3, 5]
+# Dimensions of the access vector the neighbour grid uses: all but the number of values, which follows from reads and writes.
+ACCESS_GRID = [0, 1, 3, 4, 5, 6]
 
 
 def access_clusters(access: DataFrame) -> DataFrame:
