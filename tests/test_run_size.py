@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelathe.operators import access_patterns as ap, carry, errors, parse, registers, sequences
+from tracelathe.operators import access_patterns as ap, activity, carry, errors, parse, registers, sequences, text
 from tracelathe.plans.features import assemble
 
 
@@ -60,3 +60,10 @@ def test_status_is_joined_before_features_become_rows(spark, access):
     plan = assemble(runs, features)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(array(struct(") < plan.index("Join Inner")
     assert assemble(runs, features).columns == ["test_id", "family", "entity", "feature", "value", "status"]
+
+
+def test_words_and_bins_are_found_once(spark, access):
+    docs = spark.createDataFrame([(1, "big red dog"), (2, "big cat"), (3, None)], "doc_id int, text string")
+    weights = text.document_tfidf(docs, "doc_id", "text")
+    assert "regexp_extract_all" not in _plan(weights) and "big red" in {r.term for r in weights.collect()}
+    assert "map_from_entries" not in _plan(activity.run_activity(access))
