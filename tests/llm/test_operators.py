@@ -10,7 +10,7 @@ import pytest
 
 from tests.conftest import TINY
 from tests.llm import brute
-from tracelathe.llm import components, exact_dedup, langid, minhash, mixing, pieces, quality, queries, repeats, simhash, token_counts, token_store
+from tracelathe.llm import byte_units, components, exact_dedup, langid, minhash, mixing, pieces, quality, queries, repeats, simhash, token_counts, token_store
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -477,3 +477,27 @@ def test_quality(spark, corners, empty):
     model = quality.learn(spark.read.parquet(f"{sf}/documents.parquet"), labels, per_class=50)
     assert quality.with_quality(corners, model).count() == len(CORNERS) and quality.with_quality(empty, model).count() == 0
     assert quality.learn(empty, labels.limit(0)) is None and quality.with_quality(corners, None).count() == len(CORNERS)
+
+
+def test_units_are_kept_in_few_bytes():
+    import tracemalloc
+
+    words = [f"u{k}" for k in range(60_000)] + [f"a longer unit {k}" for k in range(60_000)]
+    table = byte_units.UnitTable(lambda units: [[len(u)] for u in units], slots=1 << 10)
+    tracemalloc.start()
+    for a in range(0, len(words), 20_000):
+        part = byte_units.Slice(words[a:a + 20_000])
+        table.lookup(part, part.begins, part.ends)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert table.n == len(words) and kept / table.n < 130, kept / table.n
+    part = byte_units.Slice(words[::7])
+    again = table.lookup(part, part.begins, part.ends)
+    assert again.max() < len(words) and table.n == len(words)
+    assert table.expand(again)[0].tolist() == [len(w) for w in words[::7]]
+
+
+def test_encoding_takes_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a text")], "doc_id int, text string")
+    pieces.with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 1 << 21

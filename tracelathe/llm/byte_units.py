@@ -103,8 +103,8 @@ class UnitTable:
         self.forget()
 
     def forget(self) -> None:
-        self.short: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
+        # Keys in ascending order with their units: a dictionary's entries would take some ten times the bytes.
+        self.known = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.int32)) for kind in (False, True)}
         self.long: dict[bytes, int] = {}
         self.n = 0
         self.names = np.zeros((1 << 14, 4), np.uint64)
@@ -133,13 +133,17 @@ class UnitTable:
         return first
 
     def _units_of(self, keys: np.ndarray, middle: bool, part: Slice, at: np.ndarray, ends: np.ndarray, names: np.ndarray | None) -> np.ndarray:
-        index, slot_key, slot_unit = self.middle if middle else self.short, self.slot_key[middle], self.slot_unit[middle]
+        slot_key, slot_unit = self.slot_key[middle], self.slot_unit[middle]
         slot = (keys >> np.uint64(32)).astype(np.int64) & (self.slots - 1)
         unit = slot_unit[slot].astype(np.int64)
         rest = np.flatnonzero((unit < 0) | (slot_key[slot] != keys))
         if len(rest):
             distinct, first, inverse = np.unique(keys[rest], return_index=True, return_inverse=True)
-            found = np.fromiter((index.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
+            known, units = self.known[middle]
+            place, found = np.searchsorted(known, distinct), np.full(len(distinct), -1, np.int64)
+            old = np.flatnonzero(place < len(known))
+            old = old[known[place[old]] == distinct[old]]
+            found[old] = units[place[old]]
             new = np.flatnonzero(found < 0)
             if len(new):
                 one = rest[first[new]]
@@ -147,7 +151,7 @@ class UnitTable:
                 strings = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[one].tolist(), ends[one].tolist())]
                 base = self._add(strings, names[one] if middle else None)
                 found[new] = base + np.arange(len(new))
-                index.update(zip(distinct[new].tolist(), range(base, base + len(new))))
+                self.known[middle] = np.insert(known, place[new], distinct[new]), np.insert(units, place[new], found[new])
             slot_key[slot[rest[first]]], slot_unit[slot[rest[first]]] = distinct, found
             unit[rest] = found[inverse]
         return unit

@@ -17,6 +17,7 @@ encoded once per worker.
 from __future__ import annotations
 
 import codecs
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,7 @@ class PieceEncoder:
         known = set(reachable)
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in known), None) for p in reachable}
         self.strangers = never_inside(p.replace(MARK, " ").encode() for p in reachable)
-        self.table = UnitTable(lambda units: [self.ids(u.replace(" ", MARK)) for u in units])
+        self.table = UnitTable(lambda units: [self.ids(u.replace(" ", MARK)) for u in units], limit=300_000, slots=1 << 19)
         self.byte_ends = np.cumsum([0, *map(len, self.bytes_of)])
         self.bytes_flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
@@ -83,7 +84,8 @@ class PieceEncoder:
         if found is None:
             if len(self.pairs) >= self.pairs_kept:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(left + right) == [left, right]
+            # Interned: pairs share the strings of their pieces.
+            found = self.pairs[sys.intern(left), sys.intern(right)] = self.merged(left + right) == [left, right]
         return found
 
     def tokens(self, text: str) -> list[str]:
@@ -165,7 +167,7 @@ def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
+def encode(text: Column, path: str, slice_bytes: int = 1 << 20) -> Column:
     """Ids of each text (ARRAY<INT>), as the library gives them without begin, end or sampling.
     A null text counts as empty: no ids."""
     @F.arrow_udf("array<int>")
@@ -177,7 +179,7 @@ def encode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
     return ids(text)
 
 
-def encode_and_decode(text: Column, path: str, slice_bytes: int = 1 << 21) -> Column:
+def encode_and_decode(text: Column, path: str, slice_bytes: int = 1 << 20) -> Column:
     """STRUCT<ids ARRAY<INT>, decoded STRING>: ids, and the text they decode to, from one worker that
     holds the vocabulary once."""
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
@@ -211,5 +213,6 @@ def with_pieces(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     Null and empty texts: no ids and an empty string.  Every row is kept; an empty table gives an
     empty table; input columns named ids or decoded give way.
     """
-    df = plain(small_batches(df), "ids", "decoded")
+    # Ids and decoded texts take some three times a batch's bytes, in the worker and again in the JVM.
+    df = plain(small_batches(df, 1 << 21), "ids", "decoded")
     return df.withColumn("__both", encode_and_decode(F.col(text), path)).select(*df.columns, "__both.ids", "__both.decoded")
