@@ -67,3 +67,11 @@ def test_words_and_bins_are_found_once(spark, access):
     weights = text.document_tfidf(docs, "doc_id", "text")
     assert "regexp_extract_all" not in _plan(weights) and "big red" in {r.term for r in weights.collect()}
     assert "map_from_entries" not in _plan(activity.run_activity(access))
+
+
+def test_error_times_of_small_runs_are_not_repeated(spark, access):
+    err = access.where("line_id % 9 = 0").select("test_id", "line_id", "pos", "ts_ns", "ts_text", F.lit("e").alias("message"), "raw")
+    small, spread, some = (errors.context_rows(access, err, 5000, limit=n) for n in (None, 1, 60))
+    assert "_salt" not in _plan(small) and "_salt" in _plan(spread)
+    wanted = access.alias("a").join(err.select("test_id", F.col("ts_ns").alias("err_ns")).distinct().alias("e"), "test_id").where("ts_ns between err_ns - 5000 and err_ns")
+    assert _rows(small) == _rows(spread) == _rows(some) == _rows(wanted.select(*small.columns)) != []
