@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelathe.operators import access_patterns as ap, activity, carry, errors, parse, registers, sequences, text
+from tracelathe.operators import access_patterns as ap, activity, carry, errors, parse, registers, sequences, text, triage
 from tracelathe.plans.features import assemble
 
 
@@ -75,3 +75,23 @@ def test_error_times_of_small_runs_are_not_repeated(spark, access):
     assert "_salt" not in _plan(small) and "_salt" in _plan(spread)
     wanted = access.alias("a").join(err.select("test_id", F.col("ts_ns").alias("err_ns")).distinct().alias("e"), "test_id").where("ts_ns between err_ns - 5000 and err_ns")
     assert _rows(small) == _rows(spread) == _rows(some) == _rows(wanted.select(*small.columns)) != []
+
+
+def test_status_of_many_runs_is_not_broadcast(spark, access, monkeypatch, tmp_path):
+    """Spark judges stored runs by their compressed file, and salts don't count: only counted, few runs are broadcast."""
+    spark.createDataFrame([(f"t{i}", "FAIL" if i % 3 else None) for i in range(6)] + [("hot", "PASS"), (None, "PASS")], "test_id string, status string"
+                          ).write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    wide = registers.register_values(access).localCheckpoint()
+    features = {"register_values": wide, "register_sequences": wide.groupBy("test_id").agg(
+        F.count("*").alias("total"), F.sum("n").alias("n_unique"), F.lit(0.5).alias("entropy")).localCheckpoint()}
+    few = assemble(runs, features)
+    assert _plan(few).count("BroadcastHashJoin") == 2 and "_salt" not in _plan(few)
+    edges = wide.select("test_id", "descr")
+    shown = triage.unseen(edges, runs, ["descr"])
+    want, unseen = _rows(few), _rows(shown)
+    monkeypatch.setattr(carry, "BROADCAST_IDS", 7)
+    many = assemble(runs, features)
+    assert "Broadcast" not in _plan(many) and _plan(many).count("_salt") > 0
+    assert _rows(many) == want and len(want) > 20
+    assert _rows(triage.unseen(edges, runs, ["descr"])) == unseen
