@@ -3,16 +3,19 @@
 Equal vectors become one weighted site.  Sites fall into cells whose diagonal is the radius, so
 sites of one cell are neighbours by construction and are never paired.  Cells meet through a
 coarser grid; a pair of cells whose bounding boxes are wholly inside or outside the radius is
-settled by its boxes, and only sites near an undecided border are compared.
+settled by its boxes.  Sites are compared only where that leaves open whether they have enough
+neighbours, or whether two clusters touch.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tracelathe.functions.exprs import box_gap, box_span, squared_distance
 from tracelathe.operators import carry
 from tracelathe.schema import EPS, MIN_POINTS
 from tracelathe.session import materialize, spread
@@ -27,20 +30,48 @@ def _boxes(sites: DataFrame, keys: list[str], n_dims: int, *extra) -> DataFrame:
         F.array(*[F.max(F.col("v")[i]) for i in range(n_dims)]).alias("hi"), *extra)
 
 
-def _as(df: DataFrame, keys: list[str], side: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keys])
+def _within(pairs: DataFrame, limit: float, n: int, a: tuple[str, str] = ("lo_a", "hi_a"), b: tuple[str, str] = ("lo_b", "hi_b")) -> DataFrame:
+    """Pairs of boxes, given by their corners (a site is both corners of its own), that come within the radius, with
+    ``whole``: whether all of them lie within it.  The corners are dropped.
+
+    Worked in Arrow batches: written out for every dimension, the test is too long a method for the JVM to compile."""
+    shown = [f for f in pairs.schema.fields if f.name not in {*a, *b}]
+    names = [f.name for f in shown] + ["whole"]
+
+    def tested(batches):
+        for batch in batches:
+            at = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in {*a, *b}}
+            gap, span = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            with np.errstate(invalid="ignore", over="ignore"):
+                for i in range(n):
+                    (lo_a, hi_a), (lo_b, hi_b) = ([at[c][:, i] for c in side] for side in (a, b))
+                    step = np.maximum(np.maximum(lo_a - hi_b, lo_b - hi_a), 0.0)
+                    gap += step * step
+                    step = np.maximum(hi_a - lo_b, hi_b - lo_a)
+                    span += step * step
+                near, whole = gap <= limit, span <= limit
+            columns = [batch.column(f.name) for f in shown] + [pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(near))
+
+    return pairs.mapInArrow(tested, StructType([*shown, StructField("whole", BooleanType())]))
+
+
+def _as(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns])
 
 
 def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float, n: int, side: float) -> DataFrame:
-    """Pairs of cells (both ways, self included) whose boxes come within the radius.
+    """Pairs of cells (both ways, self included) whose boxes come within the radius; ``whole`` if they are inside it throughout.
+    ``at`` has the place in the grid where ``cell`` is but a number.
 
     Coarse cells span three fine ones: neighbours differ by at most one coarse step per dimension.  A cell asks only
     those around it that reach into its radius, and of each two opposite ones only one.  A group of few cells is
     one coarse cell.
     """
     cells = carry.salted_join(cells, cells.groupBy(*keys).agg((F.count("*") <= FEW_CELLS).alias("few")), keys, ["cell"])
+    at = "at" if "at" in cells.columns else "cell"
     cells = cells.select(*keys, "cell", "lo", "hi", "few", *[
-        F.when(F.col("few"), 0).otherwise(F.floor(F.get("cell", F.lit(i)) / 3)).cast("bigint").alias(f"g{j}") for j, i in enumerate(grid)])
+        F.when(F.col("few"), 0).otherwise(F.floor(F.get(at, F.lit(i)) / 3)).cast("bigint").alias(f"g{j}") for j, i in enumerate(grid)])
     a = cells.withColumns({"_ahead": F.lit(False), "_gap": F.lit(0.0)})
     width = 3 * side
     for j, i in enumerate(grid):
@@ -55,40 +86,36 @@ def _near_cells(cells: DataFrame, keys: list[str], grid: list[int], limit: float
     places = [f"g{j}" for j in range(len(grid))]
     a = a.select(*keys, *places, "_ahead", *[F.col(c).alias(f"{c}_a") for c in ("cell", "lo", "hi")])
     b = cells.select(*keys, *places, *[F.col(c).alias(f"{c}_b") for c in ("cell", "lo", "hi")])
-    pairs = (a.join(b, [*keys, *places]).where(F.col("_ahead") | (F.col("cell_a") <= F.col("cell_b")))
-             .where(box_gap(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b"), n) <= limit))
+    pairs = _within(a.join(b, [*keys, *places]).where(F.col("_ahead") | (F.col("cell_a") <= F.col("cell_b")))
+                    .select(*keys, "cell_a", "cell_b", "lo_a", "hi_a", "lo_b", "hi_b"), limit, n)
     ends = lambda x, y: F.struct(F.col(x).alias("cell_a"), F.col(y).alias("cell_b"))
     both = F.when(F.col("cell_a") == F.col("cell_b"), F.array(ends("cell_a", "cell_b"))).otherwise(F.array(ends("cell_a", "cell_b"), ends("cell_b", "cell_a")))
-    return pairs.select(*keys, F.explode(both).alias("_p")).select(*keys, "_p.*")
-
-
-def _probe(sites: DataFrame, near: DataFrame, boxes: DataFrame, keys: list[str], limit: float, n: int) -> DataFrame:
-    """Sites with each near box, marked whole (inside the radius throughout) or open."""
-    v = F.col("v_a")
-    return (_as(sites, keys, "a").join(near, [*keys, "cell_a"])
-            .join(_as(boxes, keys, "b"), [*keys, "cell_b"])
-            .where(box_gap(v, v, F.col("lo_b"), F.col("hi_b"), n) <= limit)
-            .withColumn("whole", box_span(v, v, F.col("lo_b"), F.col("hi_b"), n) <= limit))
-
-
-def _components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest label reachable: labels pass along edges, then jump to their label's label."""
-    labels = materialize(nodes.select(*keys, "cell", F.col("id").alias("own"), F.col("id").alias("label")),
-                         "labels")
-    if edges.isEmpty():
-        return labels
-    while True:
-        heard = (edges.join(labels.select(*keys, F.col("cell").alias("cell_b"), "label"), [*keys, "cell_b"])
-                 .groupBy(*keys, F.col("cell_a").alias("cell")).agg(F.min("label").alias("_heard")))
-        passed = labels.join(heard, [*keys, "cell"], "left").withColumn("_best", F.least("label", "_heard"))
-        roots = passed.select(*keys, F.col("own").alias("_best"), F.col("_best").alias("_root"))
-        moved = (carry.salted_join(passed, roots, [*keys, "_best"], ["cell"], "left")
-                 .select(*keys, "cell", "own", F.least("_best", "_root").alias("_next"), "label"))
-        step = materialize(moved.select(*keys, "cell", "own", F.col("_next").alias("label"),
-                                        (F.col("_next") != F.col("label")).alias("changed")), "labels")
-        labels = step.drop("changed")
-        if step.where("changed").isEmpty():
-            return labels
+    return pairs.select(*keys, F.explode(both).alias("_p"), "whole").select(*keys, "_p.*", "whole")
+
+
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each ``cell`` with the smallest number reachable as its ``label``; ``edges`` (cell_a, cell_b) are stored.
+
+    Every node with edges points to its smallest neighbour, if that is smaller; pointers jump until they all show roots, and
+    edges between the same roots become one.  So the edges left shrink from round to round."""
+    labels = nodes.select("cell", F.col("cell").alias("label"))
+    while not edges.isEmpty():
+        both = edges.select("cell_a", "cell_b").unionByName(edges.select(F.col("cell_a").alias("cell_b"), F.col("cell_b").alias("cell_a")))
+        roots = materialize(both.groupBy(F.col("cell_a").alias("label")).agg(F.least("cell_a", F.min("cell_b")).alias("root")), "roots")
+        while True:
+            further = roots.select(F.col("label").alias("root"), F.col("root").alias("_further"))
+            jumped = materialize(carry.salted_join(roots.select("label", "root"), further, ["root"], ["label"]).select(
+                "label", F.col("_further").alias("root"), (F.col("_further") != F.col("root")).alias("moved")), "roots")
+            roots = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        labels = materialize(carry.salted_join(labels, roots, ["label"], ["cell"], "left")
+                             .select("cell", F.coalesce("root", "label").alias("label")), "labels")
+        for end, other in (("cell_a", "cell_b"), ("cell_b", "cell_a")):
+            edges = carry.salted_join(edges, roots.withColumnRenamed("label", end), [end], [other]).select(F.col("root").alias(end), other)
+        edges = materialize(edges.where("cell_a <> cell_b").select(
+            F.least("cell_a", "cell_b").alias("cell_a"), F.greatest("cell_a", "cell_b").alias("cell_b")).distinct(), "edges")
+    return labels
 
 
 def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_col="first_at",
@@ -104,67 +131,89 @@ def density_clusters(points: DataFrame, dims: list[str], keys=("test_id",), id_c
     grid = grid if grid is not None else list(range(min(3, n_dims)))
     vector: Column = F.array(*[F.col(d).cast("double") + 0.0 for d in dims])
     rows = points.select(*keys, name, F.col(id_col).alias("id"), vector.alias("v"))
-    sites = spread(materialize(
-        rows.groupBy(*keys, "v").agg(F.count("*").alias("w"), F.min("id").alias("id"))
-        .withColumn("cell", F.transform("v", lambda x: F.floor(x / side).cast("bigint"))), "sites"))
-    cells = spread(materialize(_boxes(sites, keys, n_dims, F.sum("w").alias("w")), "cells"))
-    near = spread(materialize(_near_cells(cells, keys, grid, limit, n_dims, side), "near-cells"))
-
-    dense = cells.where(F.col("w") >= min_points).select(*keys, "cell")
-    sparse = sites.join(cells.where(F.col("w") < min_points).select(*keys, "cell"), [*keys, "cell"])
-    probe = _probe(sparse.select(*keys, "id", "v", "cell"), near, cells, keys, limit, n_dims)
-    by_box = probe.where("whole").select(*keys, F.col("id_a").alias("id"), F.col("w_b").alias("w"))
-    by_site = (probe.where("NOT whole").select(*keys, "id_a", "v_a", "cell_b")
-               .join(_as(sites.select(*keys, "cell", "v", "w"), keys, "b"), [*keys, "cell_b"])
-               .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit)
-               .select(*keys, F.col("id_a").alias("id"), F.col("w_b").alias("w")))
-    counted = (by_box.unionByName(by_site).groupBy(*keys, "id").agg(F.sum("w").alias("_n"))
-               .where(F.col("_n") >= min_points).select(*keys, "id"))
-    core = materialize(
-        sites.join(dense, [*keys, "cell"], "left_semi")
-        .unionByName(sparse.drop("w").join(counted, [*keys, "id"], "left_semi")
-                     .join(sites.select(*keys, "id", "w"), [*keys, "id"]))
-        .select(*keys, "id", "v", "cell"), "core")
-
-    boxes = _boxes(core, keys, n_dims, F.min("id").alias("id"))
-    edges = _edges(core, boxes, near, keys, limit, n_dims)
-    labels = _components(boxes, edges, keys)
+    # Sites and cells are numbered: keys, ids and places don't travel with the pairs.
+    found = materialize(rows.groupBy(*keys, "v").agg(F.count("*").alias("w"), F.min("id").alias("id"), F.min(name).alias("name"))
+                        .withColumns({"at": F.transform("v", lambda x: F.floor(x / side).cast("bigint")), "site": F.monotonically_increasing_id()}), "sites")
+    placed = found.withColumnRenamed("at", "cell")
+    cells = spread(materialize(_boxes(placed, keys, n_dims, F.sum("w").alias("w")).withColumnRenamed("cell", "at")
+                               .withColumn("cell", F.monotonically_increasing_id()), "cells"))
+    sites = spread(materialize(found.join(cells.select(*keys, "at", "cell"), [*keys, "at"]).drop("at"), "located"))
+    near = spread(materialize(_near_cells(cells, keys, grid, limit, n_dims, side).drop(*keys), "near-cells"))
+    core = materialize(_core(sites, cells, near, limit, n_dims, min_points), "core")
+
+    boxes = materialize(_boxes(core, keys, n_dims, F.min("id").alias("id")), "core-boxes")
+    labels = materialize(_labels(core, boxes, near, limit, n_dims), "cell-labels")
     # Numbered in ranges: one group may hold any number of clusters.
-    heads = carry.range_chunks(labels.select(*keys, "label").distinct().withColumn("_one", F.lit(1)), [*keys, "label"], "cluster-heads")
-    numbers = (carry.with_running(heads, keys, ["label"], "_one", "_no")
-               .select(*keys, "label", (F.col("_no") - 1).cast("int").alias("cluster_id")))
-    numbered = carry.salted_join(labels, numbers, [*keys, "label"], ["cell"]).select(*keys, "cell", "cluster_id")
-
-    inner = core.join(numbered, [*keys, "cell"]).select(*keys, "id", "cluster_id")
-    loose = sites.select(*keys, "id", "v", "cell").join(core.select(*keys, "id"), [*keys, "id"], "left_anti")
-    reach = (_probe(loose, near, boxes.drop("id"), keys, limit, n_dims)
-             .join(_as(numbered, keys, "b"), [*keys, "cell_b"]))
-    touched = (reach.where("whole").select(*keys, "id_a", "cluster_id_b").unionByName(
-        reach.where("NOT whole").select(*keys, "id_a", "v_a", "cell_b", "cluster_id_b")
-        .join(_as(core.select(*keys, "cell", "v"), keys, "b"), [*keys, "cell_b"])
-        .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit)
-        .select(*keys, "id_a", "cluster_id_b")))
-    border = touched.groupBy(*keys, F.col("id_a").alias("id")).agg(F.min("cluster_id_b").alias("cluster_id"))
-    site_labels = inner.unionByName(border).join(sites.select(*keys, "id", "v"), [*keys, "id"]).drop("id")
-    return (carry.salted_join(rows, site_labels, [*keys, "v"], ["id"])
-            .select(*keys, name, F.col("id").alias(id_col), "cluster_id"))
-
-
-def _edges(core: DataFrame, boxes: DataFrame, near: DataFrame, keys: list[str], limit: float,
-           n_dims: int) -> DataFrame:
-    """Pairs of core cells that hold two core sites within the radius, both ways."""
-    ends = [*keys, "cell_a", "cell_b"]
-    box = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
-    pairs = (near.where("cell_a < cell_b")
-             .join(_as(boxes.drop("id"), keys, "a"), [*keys, "cell_a"])
-             .join(_as(boxes.drop("id"), keys, "b"), [*keys, "cell_b"])
-             .where(box_gap(*box, n_dims) <= limit).withColumn("whole", box_span(*box, n_dims) <= limit))
-    undecided = pairs.where("NOT whole").select(*ends)
-    facing = _probe(core.drop("id"), undecided, boxes.drop("id"), keys, limit, n_dims)
-    by_site = facing.where("whole").select(*ends).distinct()
-    close = (facing.join(by_site, ends, "left_anti").select(*ends, "v_a")
-             .join(_as(core.drop("id"), keys, "b"), [*keys, "cell_b"])
-             .where(squared_distance(F.col("v_a"), F.col("v_b"), n_dims) <= limit).select(*ends).distinct())
-    one_way = pairs.where("whole").select(*ends).unionByName(by_site).unionByName(close)
-    return materialize(one_way.unionByName(one_way.select(
-        *keys, F.col("cell_b").alias("cell_a"), F.col("cell_a").alias("cell_b"))), "edges")
+    heads = labels.join(boxes.select(*keys, "cell", "id"), "cell").groupBy(*keys, "label").agg(F.min("id").alias("id"), F.lit(1).alias("_one"))
+    numbers = (carry.with_running(carry.range_chunks(heads, [*keys, "id"], "cluster-heads"), keys, ["id"], "_one", "_no")
+               .select("label", (F.col("_no") - 1).cast("int").alias("cluster_id")))
+    numbered = materialize(carry.salted_join(labels, numbers, ["label"], ["cell"]).select("cell", "cluster_id"), "numbered")
+
+    inner = core.join(numbered, "cell").select("site", "cluster_id")
+    loose = sites.join(core.select("site"), "site", "left_anti").select("site", "v", "cell")
+    reach = (_as(loose, "a").join(near, "cell_a").join(_as(numbered, "b"), "cell_b"))
+    open_ = _within(reach.where("NOT whole").drop("whole").join(_as(boxes.select("cell", "lo", "hi"), "b"), "cell_b")
+                    .select("site_a", "v_a", F.col("v_a").alias("_v"), "cell_b", "cluster_id_b", "lo_b", "hi_b"), limit, n_dims, ("_v", "_v"))
+    facing = open_.where("NOT whole").drop("whole").join(_as(core.select("cell", "v"), "b"), "cell_b").select("site_a", "cluster_id_b", "v_a", "v_b")
+    shown = ["site_a", "cluster_id_b"]
+    touched = (reach.where("whole").select(*shown).unionByName(open_.where("whole").select(*shown))
+               .unionByName(_within(facing, limit, n_dims, ("v_a", "v_a"), ("v_b", "v_b")).select(*shown)))
+    border = touched.groupBy(F.col("site_a").alias("site")).agg(F.min("cluster_id_b").alias("cluster_id"))
+    of_sites = materialize(inner.unionByName(border).join(sites.drop("cell"), "site"), "site-clusters")
+    single = of_sites.where("w = 1").select(*keys, F.col("name").alias(name), F.col("id").alias(id_col), "cluster_id")
+    # Points of equal vectors; all of them may be.
+    shared = of_sites.where("w > 1").select(*keys, "v", "cluster_id")
+    return single.unionByName(carry.salted_join(rows, shared, [*keys, "v"], ["id"]).select(*keys, name, F.col("id").alias(id_col), "cluster_id"))
+
+
+def _core(sites: DataFrame, cells: DataFrame, near: DataFrame, limit: float, n_dims: int, min_points: int) -> DataFrame:
+    """Sites with enough neighbours.  Boxes tell this of most cells as a whole; then boxes are held against the sites of
+    the other cells, and sites against those that are still short of neighbours."""
+    thin = cells.where(F.col("w") < min_points).select("cell")
+    by_cell = (near.where("whole").join(_as(thin, "a"), "cell_a", "left_semi").join(_as(cells.select("cell", "w"), "b"), "cell_b")
+               .groupBy(F.col("cell_a").alias("cell")).agg(F.sum("w_b").alias("_n")))
+    few = materialize(thin.join(by_cell, "cell", "left").select("cell", F.coalesce("_n", F.lit(0)).alias("_n"))
+                      .where(F.col("_n") < min_points), "thin-cells")
+    lone = sites.join(few, "cell").select("site", "v", "cell", "_n")
+    probe = materialize(_within(
+        _as(lone, "a").join(near.where("NOT whole").drop("whole"), "cell_a").join(_as(cells.select("cell", "lo", "hi", "w"), "b"), "cell_b")
+        .select("site_a", "v_a", F.col("v_a").alias("_v"), "cell_b", "w_b", "lo_b", "hi_b"), limit, n_dims, ("_v", "_v")), "probe")
+    by_box = probe.where("whole").groupBy(F.col("site_a").alias("site")).agg(F.sum("w_b").alias("_boxed"))
+    counted = materialize(lone.select("site", "_n").join(by_box, "site", "left")
+                          .select("site", (F.col("_n") + F.coalesce("_boxed", F.lit(0))).alias("_n")), "counted")
+    short = counted.where(F.col("_n") < min_points).select(F.col("site").alias("site_a"))
+    facing = (probe.where("NOT whole").select("site_a", "v_a", "cell_b").join(short, "site_a", "left_semi")
+              .join(_as(sites.select("cell", "v", "w"), "b"), "cell_b").select("site_a", "v_a", "v_b", "w_b"))
+    by_site = (_within(facing, limit, n_dims, ("v_a", "v_a"), ("v_b", "v_b"))
+               .groupBy(F.col("site_a").alias("site")).agg(F.sum("w_b").alias("_met")))
+    enough = (counted.join(by_site, "site", "left").where(F.col("_n") + F.coalesce("_met", F.lit(0)) >= min_points).select("site"))
+    return (sites.join(few.select("cell"), "cell", "left_anti")
+            .unionByName(sites.join(few.select("cell"), "cell", "left_semi").join(enough, "site", "left_semi").select(*sites.columns)
+                         ).drop("w", "name"))
+
+
+def _labels(core: DataFrame, boxes: DataFrame, near: DataFrame, limit: float, n_dims: int) -> DataFrame:
+    """Core cells (``cell``) with the smallest cell of their cluster (``label``).
+
+    Cells whose boxes lie within the radius are linked first; sites are compared only between cells this leaves apart."""
+    cells = boxes.select("cell")
+    held = (near.where("cell_a < cell_b").join(_as(cells, "a"), "cell_a", "left_semi").join(_as(cells, "b"), "cell_b", "left_semi"))
+    linked = materialize(_components(cells, materialize(held.where("whole").select("cell_a", "cell_b"), "edges")), "linked")
+    ends = ["cell_a", "cell_b", "label_a", "label_b"]
+    apart = (held.where("NOT whole").drop("whole").join(_as(linked, "a"), "cell_a").join(_as(linked, "b"), "cell_b")
+             .where("label_a <> label_b"))
+    corners = boxes.select("cell", "lo", "hi")
+    pairs = materialize(_within(apart.join(_as(corners, "a"), "cell_a").join(_as(corners, "b"), "cell_b"), limit, n_dims).select(*ends, "whole"), "cell-pairs")
+    points = core.select("cell", "v")
+    facing = materialize(_within(
+        pairs.where("NOT whole").drop("whole").join(_as(points, "a"), "cell_a").join(_as(corners, "b"), "cell_b")
+        .withColumn("_v", F.col("v_a")), limit, n_dims, ("_v", "_v")), "facing")
+    links = lambda df: df.select(F.col("label_a").alias("cell_a"), F.col("label_b").alias("cell_b"))
+    sure = links(pairs.where("whole")).unionByName(links(facing.where("whole"))).distinct()
+    sure = materialize(sure, "edges")
+    close = (facing.where("NOT whole").drop("whole").join(sure.select(F.col("cell_a").alias("label_a"), F.col("cell_b").alias("label_b")), ["label_a", "label_b"], "left_anti")
+             .join(_as(points, "b"), "cell_b").select("label_a", "label_b", "v_a", "v_b"))
+    met = links(_within(close, limit, n_dims, ("v_a", "v_a"), ("v_b", "v_b")))
+    joined = _components(linked.select(F.col("label").alias("cell")).distinct(), materialize(sure.unionByName(met).distinct(), "edges"))
+    return carry.salted_join(linked, joined.select(F.col("cell").alias("label"), F.col("label").alias("_last")), ["label"], ["cell"]).select(
+        "cell", F.col("_last").alias("label"))
