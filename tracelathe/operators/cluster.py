@@ -99,18 +99,18 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Every node with edges points to its smallest neighbour, if that is smaller; pointers jump until they all show roots, and
     edges between the same roots become one.  So the edges left shrink from round to round."""
     labels = nodes.select("cell", F.col("cell").alias("label"))
+    jump = lambda df: carry.salted_join(
+        df, df.select(F.col("label").alias("root"), F.col("root").alias("_further")), ["root"], ["label"]).select("label", F.col("_further").alias("root"))
     while not edges.isEmpty():
         both = edges.select("cell_a", "cell_b").unionByName(edges.select(F.col("cell_a").alias("cell_b"), F.col("cell_b").alias("cell_a")))
         roots = materialize(both.groupBy(F.col("cell_a").alias("label")).agg(F.least("cell_a", F.min("cell_b")).alias("root")), "roots")
         while True:
-            further = roots.select(F.col("label").alias("root"), F.col("root").alias("_further"))
-            jumped = materialize(carry.salted_join(roots.select("label", "root"), further, ["root"], ["label"]).select(
-                "label", F.col("_further").alias("root"), (F.col("_further") != F.col("root")).alias("moved")), "roots")
+            jumped = materialize(jump(jump(roots)).join(roots.withColumnRenamed("root", "_was"), "label").select(
+                "label", "root", (F.col("root") != F.col("_was")).alias("moved")), "roots")
             roots = jumped.drop("moved")
             if jumped.where("moved").isEmpty():
                 break
-        labels = materialize(carry.salted_join(labels, roots, ["label"], ["cell"], "left")
-                             .select("cell", F.coalesce("root", "label").alias("label")), "labels")
+        labels = carry.salted_join(labels, roots, ["label"], ["cell"], "left").select("cell", F.coalesce("root", "label").alias("label"))
         for end, other in (("cell_a", "cell_b"), ("cell_b", "cell_a")):
             edges = carry.salted_join(edges, roots.withColumnRenamed("label", end), [end], [other]).select(F.col("root").alias(end), other)
         edges = materialize(edges.where("cell_a <> cell_b").select(
